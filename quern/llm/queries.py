@@ -1,0 +1,24 @@
+"""The queries of this subpackage, over whole tables, and the SQL of those that have one."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op2_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.wavelet import token_wavelet
+
+    return token_wavelet(spark, table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_wavelet_tokens": op2_wavelet_tokens,
+}
+
+ORACLE_SQL: dict[str, str] = {}
