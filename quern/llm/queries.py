@@ -17,8 +17,15 @@ def op2_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_wavelet(spark, table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.jaccard_join import ngram_jaccard_join
+
+    return ngram_jaccard_join(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_wavelet_tokens": op2_wavelet_tokens,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
 }
 
 ORACLE_SQL: dict[str, str] = {}
