@@ -50,6 +50,18 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.line_dedup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents"))
+
+
+def op8_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.cotraining import classify_quality
+
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.quality_rules import quality_rules
 
@@ -69,6 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pii": op4_pii,
     "op5_chat_windows": op5_chat_windows,
     "op6_mix_sources": op6_mix_sources,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_cotraining": op8_cotraining,
     "op9_quality_rules": op9_quality_rules,
     "op10_html_text": op10_html_text,
 }
