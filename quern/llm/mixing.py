@@ -141,7 +141,7 @@ def mix_sources(docs: DataFrame, *, weights=WEIGHTS, block_words: int = BLOCK_WO
     placed = _placed(sized, seed).join(sources, F.col("source").eqNullSafe(F.col("name")), "left")
     size, first = F.col("size"), F.col("first_word")
     part = _chosen_words(first + size, made.block_words) - _chosen_words(first, made.block_words)
-    return placed.select("doc_id", "size", "source_size", "target", (F.col("passes") * size + part).cast("long").alias("taken"), "first_word", "passes")
+    return placed.select("doc_id", "size", "source_size", "target", (F.col("passes") * size + part).cast("long").alias("taken"), "first_word", "passes", "blocks", F.col("rest").alias("rest_blocks"), "turn")
 
 
 def _chosen_words(x: Column, block: int) -> Column:
@@ -173,3 +173,34 @@ def _placed(sized: DataFrame, seed: int) -> DataFrame:
     keyed = keyed.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
     joined = keyed.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
     return joined.select("doc_id", "source", "size", (F.col("before") + F.col("inside")).alias("first_word"))
+
+
+def mix_passages(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: the columns of ``docs`` for each pass over a document, with the text taken.
+
+    A whole pass has the whole text; the partial pass has the chosen blocks' words of it, from their
+    first word to their last, a run of words for each row, as written.  ``n_chars`` counts the new text.
+    A document of which nothing is taken has no row.  Of rows that share a doc_id, each gives what one of them is to give.
+    """
+    parts = settle(mix_sources(docs, **options), "mix").dropDuplicates(["doc_id"])
+    block = options.get("block_words", BLOCK_WORDS)
+    own = parts.select(F.col("doc_id").alias("id"), "size", "first_word", "passes", (F.col("taken") - F.col("passes") * F.col("size")).alias("rest"), "blocks", F.col("rest_blocks"), "turn")
+    d = docs.join(own, F.col("doc_id").eqNullSafe(F.col("id")))
+    whole = d.where("passes > 0 and size > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("passes").cast("int"))))
+    whole = whole.select(*docs.columns)
+    # places, in the document, of the words of chosen blocks: from block to block of its stretch of the line
+    last = F.col("first_word") + F.col("size")
+    d = d.where("rest > 0").withColumn("tokens", F.regexp_extract_all("text", F.lit(f"{_WORD}[\\x20\\x09-\\x0D]*"), F.lit(0)))
+    b0 = F.call_function("div", F.col("first_word"), F.lit(block))
+    b1 = F.call_function("div", last - 1, F.lit(block))
+    runs = F.filter(F.sequence(b0, b1), lambda i: F.pmod(i * F.col("rest_blocks") + F.col("turn"), F.col("blocks")) < F.col("rest_blocks"))
+    cut = F.transform(
+        runs,
+        lambda i: F.slice(
+            F.col("tokens"),
+            (F.greatest(i * block, F.col("first_word")) - F.col("first_word") + 1).cast("int"),
+            (F.least((i + 1) * block, last) - F.greatest(i * block, F.col("first_word"))).cast("int"),
+        ),
+    )
+    part = d.withColumn("text", F.array_join(F.flatten(cut), "")).withColumn("n_chars", F.length("text").cast("long"))
+    return whole.unionByName(part.select(*docs.columns))
