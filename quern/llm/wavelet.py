@@ -16,8 +16,11 @@ and is kept zstd-compressed.  Rank directories are made when a block is opened
 
 from __future__ import annotations
 
+import itertools
+import re
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -196,7 +199,7 @@ class ChunkEncoder:
     Pieces with the text of an added token go through the whole tokenizer.
     """
 
-    KEEP = 1_200_000  # pieces remembered; when full they are forgotten and met anew
+    KEEP, KEEP_WORDS = 400_000, 800_000  # pieces and words remembered; when full they are met anew
 
     def __init__(self, path: str):
         import public_tokenizers
@@ -206,57 +209,80 @@ class ChunkEncoder:
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self.added = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
+        added = [re.escape(t.content.encode()) for t in self.whole.get_added_tokens_decoder().values()]
+        self.added = re.compile(b"|".join(added) or b"(?!)")
+        self.kind = "H" if self.whole.get_vocab_size() <= 1 << 16 else "I"
+        self.dtype = np.dtype(np.uint16 if self.kind == "H" else np.uint32)
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in set(printable)]
         self.visible = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, bytes] = {}
         self.pieces: dict[bytes, int] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.flat, self.at = bytearray(), np.zeros(1, np.int64)
         self._reset()
 
+    _of_path: dict[str, ChunkEncoder] = {}
+
+    @classmethod
+    def of(cls, path: str) -> ChunkEncoder:
+        """The encoder of this process: what it has learned serves the worker's next tasks."""
+        if path not in cls._of_path:
+            cls._of_path[path] = cls(path)
+        return cls._of_path[path]
+
     def _reset(self):
-        self.pieces.clear()
-        self.words.clear()
-        self.flat = np.zeros(1 << 22, np.uint16)
+        """Forget pieces, but for the ids of a quarter that came first: the frequent ones."""
+        width, at, flat = self.dtype.itemsize, self.at.tolist(), bytes(self.flat)
+        first = itertools.islice(self.pieces.items(), self.KEEP // 4)
+        self.old = {p: flat[at[c] * width : at[c + 1] * width] for p, c in first}
+        self.pieces = {}
+        self.flat = bytearray()
         self.at = np.zeros(self.KEEP + 1, np.int64)
-        self.used = 0
-
-    def _encode(self, piece: bytes) -> tuple[int, ...] | list[int]:
-        if any(a in piece for a in self.added):
-            return self.whole.encode(piece.decode(), add_special_tokens=False).ids
-        out: list[int] = []
-        for word in self.pattern.findall(piece.decode()):
-            got = self.words.get(word)
-            if got is None:
-                if len(word) > 200:  # long runs are rare and not worth keeping
-                    got = tuple(self.whole.encode(word, add_special_tokens=False).ids)
-                else:
-                    got = tuple(t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.visible)))
-                    self.words[word] = got
-            out += got
-        return out
+
+    def _whole(self, text: str) -> bytes:
+        return array(self.kind, self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if len(word) > 200:  # long runs are rare and not worth keeping
+            return self._whole(word)
+        ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.visible))]
+        got = array(self.kind, ids).tobytes()
+        if len(self.words) >= self.KEEP_WORDS:
+            self.words.clear()
+        self.words[word] = got
+        return got
+
+    def _encode(self, piece: bytes) -> bytes:
+        text = piece.decode()
+        if self.added.search(piece):
+            return self._whole(text)
+        known = self.words.get
+        bare = text[1:] if text[0] == " " else text
+        if bare.isalpha():  # by far the most: letters, or letters and one mark
+            return known(text) or self._word(text)
+        if bare[:-1].isalpha() and bare[-1] in ",.":
+            return (known(text[:-1]) or self._word(text[:-1])) + (known(bare[-1]) or self._word(bare[-1]))
+        return b"".join([known(w) or self._word(w) for w in self.pattern.findall(text)])
 
     def _number(self, pieces: list[bytes]) -> np.ndarray:
-        out = np.empty(len(pieces), np.int64)
-        known = self.pieces
-        for k, piece in enumerate(pieces):
-            code = known.get(piece)
-            if code is None:
-                ids = self._encode(piece)
-                code = known[piece] = len(known)
-                end = self.used + len(ids)
-                if end > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint16)])
-                self.flat[self.used : end] = ids
-                self.used = self.at[code + 1] = end
-            out[k] = code
-        return out
+        known, old = self.pieces, self.old
+        out = list(map(known.get, pieces))
+        if None in out:
+            width = self.dtype.itemsize
+            for k, code in enumerate(out):
+                if code is None:
+                    piece = pieces[k]
+                    self.flat += old.get(piece) or self._encode(piece)
+                    code = out[k] = known[piece] = len(known)
+                    self.at[code + 1] = len(self.flat) // width
+        return np.array(out, np.int64)
 
     def batch(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all the texts in a row, ids of each text)."""
         texts = len(offsets) - 1
         if not len(data):
-            return np.zeros(0, np.uint16), np.zeros(texts, np.int64)
+            return np.zeros(0, self.dtype), np.zeros(texts, np.int64)
         space = (data == 32) | ((data >= 9) & (data <= 13))
         cut = np.empty(len(data), bool)
         cut[0] = True
@@ -279,7 +305,7 @@ class ChunkEncoder:
         take = np.repeat(begin - total[:-1], length)
         take += np.arange(total[-1])
         of_text = np.searchsorted(starts, offsets)
-        return self.flat[take], np.diff(total[of_text])
+        return np.frombuffer(self.flat, self.dtype)[take], np.diff(total[of_text])
 
 
 # ------------------------------------------------------------------ the operator
@@ -303,7 +329,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, *, end_id: int = 2, shard
     ranged = picked.repartitionByRange(shards, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
 
     def encode(batches):
-        encoder, shard = ChunkEncoder(tokenizer_path), TaskContext.get().partitionId()
+        encoder, shard = ChunkEncoder.of(tokenizer_path), TaskContext.get().partitionId()
         ids, lengths, names, waiting, block, start = [], [], [], 0, 0, 0
 
         def image():
@@ -317,7 +343,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, *, end_id: int = 2, shard
 
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
-            step = 1 << 22
+            step = 1 << 23
             i = 0
             while i < len(offsets) - 1:
                 j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + step, "right")) - 1)
