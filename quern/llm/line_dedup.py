@@ -2,7 +2,7 @@
 
 Equal lines are one node.  A line's set is its distinct character shingles (ASCII letters lowered,
 runs of white space as one space); lines link if the sets' Jaccard similarity is at least the threshold.
-Signatures are cut into bands; of each band the lines meet the least one
+Signatures are cut into bands; of each band the lines meet the shortest
 among them and their neighbours by size, and every pair met is decided by the exact similarity.
 One line of each component stays: the first by (doc_id, line).
 
@@ -15,7 +15,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quern.llm._shared import mix, settle, text_buffers
 from quern.llm.components import components
@@ -142,36 +141,78 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def _decide(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(texts.toDF("a", "body_a"), "a").join(texts.toDF("b", "body_b"), "b").select("a", "b", "body_a", "body_b")
 
-    def shingles(body: bytes) -> set:
-        return {body[k : k + SHINGLE] for k in range(max(1, len(body) - SHINGLE + 1))}
+    def shingles(bodies) -> list[np.ndarray]:
+        data = np.frombuffer(b"".join(bodies), np.uint8)
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in bodies])])
+        h, at = _shingles(data, offsets)
+        return [np.unique(h[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
 
     def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("body_a").to_pylist(), batch.column("body_b").to_pylist()):
-                x, y = shingles(x), shingles(y)
-                n = len(x & y)
-                keep.append(100 * n >= percent * (len(x) + len(y) - n))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for whole in batches:
+            for at in range(0, len(whole), 1000):
+                batch = whole.slice(at, 1000)
+                keep = []
+                for x, y in zip(shingles(batch.column("body_a").to_pylist()), shingles(batch.column("body_b").to_pylist())):
+                    n = len(np.intersect1d(x, y, assume_unique=True))
+                    keep.append(100 * n >= percent * (len(x) + len(y) - n))
+                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long")
 
 
+#: Band entries of a block, about; what one task holds.
+BLOCK_ENTRIES = 8_000_000
+
+
+def _pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that share a band: each with the shortest of them, and with its neighbour by size.
+
+    Band entries travel packed, by blocks of their hashes; within a block a band's lines are a run of
+    a sorted array, so a run of any length costs what its entries cost.
+    """
+    blocks = max(32, -(-nodes.count() * BANDS // BLOCK_ENTRIES))
+
+    def pack(batches):
+        for batch in batches:
+            node = np.repeat(batch.column("node").to_numpy(), BANDS)
+            size = np.repeat(batch.column("chars").to_numpy(), BANDS)
+            h = batch.column("bands").flatten().to_numpy().view(np.uint64)
+            block = ((h >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(block, kind="stable")
+            node, size, h, block = node[order], size[order], h[order], block[order]
+            cuts = np.searchsorted(block, np.arange(blocks + 1))
+            some = [k for k in range(blocks) if cuts[k] < cuts[k + 1]]
+            parts = [[x[cuts[k] : cuts[k + 1]].tobytes() for k in some] for x in (h, node, size)]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(x, pa.binary()) for x in parts)], ["block", "h", "node", "size"])
+
+    def meet(key, table):
+        join = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+        h, node, size = join("h", np.uint64), join("node", np.int64), join("size", np.int32)
+        order = np.argsort(h)
+        same = h[order][1:] == h[order][:-1]
+        some = np.append(same, False) | np.append(False, same) if len(order) else np.zeros(0, bool)
+        order = order[some]
+        order = order[np.lexsort((node[order], size[order], h[order]))]
+        h, node, size = h[order], node[order], size[order]
+        if not len(h):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        first = np.append(True, h[1:] != h[:-1])
+        hub = np.flatnonzero(first)[np.cumsum(first) - 1]
+        rest = np.flatnonzero(~first)
+        x, y = np.concatenate([hub[rest], rest - 1]), np.concatenate([rest, rest])
+        pairs = np.unique(np.sort(np.column_stack([node[x], node[y]]), axis=1), axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    packed = nodes.select("node", "chars", "bands").mapInArrow(pack, "block int, h binary, node binary, size binary")
+    return packed.groupBy("block").applyInArrow(meet, "a long, b long").where("a != b")
+
+
 def line_components(docs: DataFrame, *, percent: int = 80) -> DataFrame:
     """(doc_id, line, root, stays) of each line with a visible character."""
     lines = settle(line_table(docs), "lines")
     nodes = lines.groupBy("node").agg(F.min(F.struct("doc_id", "line", "chars", "bands")).alias("x"))
     nodes = settle(nodes.select("node", "x.doc_id", "x.line", "x.chars", "x.bands"), "line-nodes")
-    met = nodes.select("node", "chars", F.posexplode("bands").alias("band", "h"))
-    # of a band, lines of near size meet in a chain, and each meets the shortest: links for a group of any size grow with the group
-    low = met.groupBy("band", "h").agg(F.min(F.struct("chars", "node")).alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = settle(met.join(low, ["band", "h"]), "bands")
-    to_hub = met.where("node != hub.node").select(F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.chars").alias("x"), F.col("chars").alias("y"))
-    salt = F.pmod(F.xxhash64("node"), F.lit(64))
-    near = Window.partitionBy("band", "h", "salt").orderBy("chars", "node")
-    chain = met.withColumn("salt", salt).select(F.lag("node").over(near).alias("a"), F.col("node").alias("b"), F.lag("chars").over(near).alias("x"), F.col("chars").alias("y")).where("a is not null")
-    fits = (F.least("x", "y") * 100 >= percent * F.greatest("x", "y") * F.lit(0.5)) | (F.least("x", "y") < 200)
-    pairs = settle(to_hub.union(chain).where(fits).select("a", "b").distinct(), "line-pairs")
+    pairs = settle(_pairs(nodes).distinct(), "line-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id", "line"), "node")
     texts = settle(_texts(docs, wanted).dropDuplicates(["node"]), "line-texts")
     roots = components(settle(_decide(pairs, texts, percent), "line-links"))
