@@ -228,11 +228,12 @@ def dedup_lines(docs: DataFrame, *, percent: int = 80) -> DataFrame:
     ``removed_lines`` are near copies (Jaccard of character shingles >= percent / 100, found with high recall and
     decided exactly) of a line that stays.
 
-    Null, empty and blank texts have no lines.  Rows that repeat a doc_id give one row, and equal lines of them
-    count as copies; a null doc_id is a document.  Other columns are not read; an empty table gives an empty result.
+    Null, empty and blank texts have no lines.  Rows that repeat a doc_id give one row; equal lines of them
+    count as copies, but one line number stands for all of them; a null doc_id is a document.  Other columns are not read; an empty table gives an empty result.
     """
     each = line_components(docs, percent=percent)
-    sums = each.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum((~F.col("stays")).cast("long")).alias("n_removed"), F.sort_array(F.collect_list(F.when(~F.col("stays"), F.col("line")))).alias("removed_lines"))
+    kept = F.size(F.collect_set(F.when(F.col("stays"), F.col("line"))))
+    sums = each.groupBy("doc_id").agg(F.count("*").alias("n_lines"), (F.count("*") - kept).alias("n_removed"), F.sort_array(F.collect_list(F.when(~F.col("stays"), F.col("line")))).alias("removed_lines"))
     ids = docs.select(F.col("doc_id").cast("long").alias("id")).distinct()
     out = ids.join(sums, F.col("id").eqNullSafe(F.col("doc_id")), "left")
     return out.select(F.col("id").alias("doc_id"), F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("removed_lines", F.array().cast("array<int>")).alias("removed_lines"))

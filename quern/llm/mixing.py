@@ -184,23 +184,31 @@ def mix_passages(docs: DataFrame, **options) -> DataFrame:
     """
     parts = settle(mix_sources(docs, **options), "mix").dropDuplicates(["doc_id"])
     block = options.get("block_words", BLOCK_WORDS)
-    own = parts.select(F.col("doc_id").alias("id"), "size", "first_word", "passes", (F.col("taken") - F.col("passes") * F.col("size")).alias("rest"), "blocks", F.col("rest_blocks"), "turn")
-    d = docs.join(own, F.col("doc_id").eqNullSafe(F.col("id")))
-    whole = d.where("passes > 0 and size > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("passes").cast("int"))))
-    whole = whole.select(*docs.columns)
+    own = parts.select(
+        F.struct("doc_id", "size", "first_word", "passes", (F.col("taken") - F.col("passes") * F.col("size")).alias("rest"), "blocks", "rest_blocks", "turn").alias("__mix")
+    )
+    d = docs.join(own, F.col("doc_id").eqNullSafe(F.col("__mix.doc_id")))
+    mine = lambda name: F.col(f"__mix.{name}")
+    whole = d.where((mine("passes") > 0) & (mine("size") > 0)).withColumn("__copy", F.explode(F.sequence(F.lit(1), mine("passes").cast("int"))))
+    whole = whole.select(*(docs[c] for c in docs.columns))
     # places, in the document, of the words of chosen blocks: from block to block of its stretch of the line
-    last = F.col("first_word") + F.col("size")
-    d = d.where("rest > 0").withColumn("tokens", F.regexp_extract_all("text", F.lit(f"{_WORD}[\\x20\\x09-\\x0D]*"), F.lit(0)))
-    b0 = F.call_function("div", F.col("first_word"), F.lit(block))
+    first, last = mine("first_word"), mine("first_word") + mine("size")
+    d = d.where(mine("rest") > 0).withColumn("__words", F.regexp_extract_all("text", F.lit(f"{_WORD}[\\x20\\x09-\\x0D]*"), F.lit(0)))
+    b0 = F.call_function("div", first, F.lit(block))
     b1 = F.call_function("div", last - 1, F.lit(block))
-    runs = F.filter(F.sequence(b0, b1), lambda i: F.pmod(i * F.col("rest_blocks") + F.col("turn"), F.col("blocks")) < F.col("rest_blocks"))
+    runs = F.filter(F.sequence(b0, b1), lambda i: F.pmod(i * mine("rest_blocks") + mine("turn"), mine("blocks")) < mine("rest_blocks"))
+    # the words are bound to a variable first: a column that a lambda names once would be made anew for each block
     cut = F.transform(
-        runs,
-        lambda i: F.slice(
-            F.col("tokens"),
-            (F.greatest(i * block, F.col("first_word")) - F.col("first_word") + 1).cast("int"),
-            (F.least((i + 1) * block, last) - F.greatest(i * block, F.col("first_word"))).cast("int"),
+        F.array(F.col("__words")),
+        lambda words: F.array_join(
+            F.flatten(
+                F.transform(
+                    runs,
+                    lambda i: F.slice(words, (F.greatest(i * block, first) - first + 1).cast("int"), (F.least((i + 1) * block, last) - F.greatest(i * block, first)).cast("int")),
+                )
+            ),
+            "",
         ),
     )
-    part = d.withColumn("text", F.array_join(F.flatten(cut), "")).withColumn("n_chars", F.length("text").cast("long"))
+    part = d.withColumn("text", F.get(cut, F.lit(0))).withColumn("n_chars", F.length("text").cast("long"))
     return whole.unionByName(part.select(*docs.columns))
