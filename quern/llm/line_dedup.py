@@ -1,222 +1,86 @@
 """Fuzzy line dedup (operator 7): MinHash banding, exact Jaccard, union-find over lines.
 
-Equal lines are one node.  A line's set is its distinct character shingles (ASCII letters lowered,
-runs of white space as one space); lines link if the sets' Jaccard similarity is at least the threshold.
-Signatures are cut into bands; of each band the lines meet the shortest
-among them and their neighbours by size, and every pair met is decided by the exact similarity.
+Equal lines are one node.  A line's set is its distinct shingles of eight UTF-8 bytes (letters
+lowered, runs of white space as one space); lines link if the sets' Jaccard similarity is at least the
+threshold.  Signatures are cut into bands; the lines of a band each meet two of them that
+the band picks, others in each band, and every pair met is decided by the exact similarity.
 One line of each component stays: the first by (doc_id, line).
 
-Signatures run in numpy over Arrow batches; the README has the figures of the form in DataFrame functions.
+All of it is DataFrame functions: shingles are an explode that feeds the minima within one
+generated stage, and no group of lines is ever gathered.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm._shared import mix, settle, text_buffers
+from quern.llm._shared import settle
 from quern.llm.components import components
 
 SHINGLE = 8
-BANDS, ROWS = 14, 3
-_MASK = np.random.default_rng(7).integers(1, 2**63, BANDS * ROWS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_LOWER[[9, 11, 12, 13]] = 32
+BANDS, ROWS = 7, 3
+#: Each minimum is over 32 bits of the shingle's hash, from one of these places, under one of these masks.
+_SHIFTS = (32, 20, 8, 0)
+_MASKS = [(k % 8 << 29) | int(x) for k, x in enumerate(np.random.default_rng(7).integers(0, 1 << 29, BANDS * ROWS))]
+_PICKS = [int(x) for x in np.random.default_rng(8).integers(0, 1 << 62, BANDS)]
+_LOW = (1 << 32) - 1
 
 
-def _normal(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lines of some texts in normal form: (bytes, n + 1 line offsets, text of each line).
+def lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, line, node, body) of each line with a visible character; node names its normal form, body."""
+    flat = F.regexp_replace(F.lower(F.col("text").cast("string")), r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]", " ")
+    each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(flat, "\n")).alias("line", "raw"))
+    each = each.select("doc_id", "line", F.trim("raw").alias("body")).where("body != ''")
+    return each.select("doc_id", "line", F.shiftrightunsigned(F.xxhash64("body"), 1).alias("node"), "body")
 
-    ASCII letters are lowered, runs of white space are one space, none at either end; blank lines stay, as empty.
-    """
-    b = _LOWER[data]
-    feed = data == 10
-    b[feed] = 32
-    space = b == 32
-    starts = np.zeros(len(b) + 1, bool)  # of lines
-    starts[offsets] = True
-    starts[1:] |= feed
-    starts = starts[:-1]
-    first = np.flatnonzero(starts)
-    # a space counts if a word of the same line stands before and right after it
-    keep = ~space
-    gap = np.zeros(len(b), bool)
-    gap[:-1] = space[:-1] & ~space[1:] & ~starts[1:]
-    words_before = np.concatenate([[0], np.cumsum(keep)])
-    line = np.cumsum(starts) - 1
-    gap &= words_before[:-1] > words_before[first][line] if len(first) else False
-    keep |= gap
-    kept = np.concatenate([[0], np.cumsum(keep)])
-    owner = np.searchsorted(offsets, first, "right") - 1
-    return b[keep], np.append(kept[first], kept[-1]), owner
-
-
-def _shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of the byte shingles of each line in a row, n + 1 offsets); a shorter line is one shingle."""
-    lengths = np.diff(offsets)
-    padded = np.concatenate([data, np.zeros(SHINGLE, np.uint8)])
-    window = np.lib.stride_tricks.sliding_window_view(padded, SHINGLE)[: len(data)]
-    raw = np.ascontiguousarray(window).view("<u8").ravel() if len(data) else np.zeros(0, np.uint64)
-    room = np.repeat(offsets[1:], lengths) - np.arange(len(data))  # bytes to the end of the line
-    first = np.zeros(len(data), bool)
-    first[offsets[:-1][lengths > 0]] = True
-    short = first & (room < SHINGLE)
-    if short.any():
-        keep = (np.uint64(1) << (np.uint64(8) * room[short].astype(np.uint64))) - np.uint64(1)
-        raw[short] &= keep
-    whole = (room >= SHINGLE) | short
-    ends = np.concatenate([[0], np.cumsum(whole)])[offsets]
-    return mix(raw[whole]), ends
-
-
-def _signatures(col: pa.Array):
-    """For slices of texts: (text of each line, line number in it, line name, set size, bands)."""
-    data, offsets = text_buffers(col)
-    i, n = 0, len(offsets) - 1
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + (1 << 19), "right")) - 1)
-        b, lines, owner = _normal(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-        h, at = _shingles(b, lines)
-        some = np.flatnonzero(np.diff(at) > 0)
-        number = np.arange(len(owner)) - np.searchsorted(owner, owner)
-        name = np.zeros(len(owner), np.uint64)
-        bands = np.zeros((len(some), BANDS), np.int64)
-        if len(some):
-            begin = at[some]
-            size = (at[some + 1] - begin).astype(np.uint64)
-            place = np.arange(len(h), dtype=np.uint64) - np.repeat(begin, size.astype(np.int64)).astype(np.uint64)
-            name[some] = mix(np.add.reduceat(mix(h + place * np.uint64(0x9E3779B97F4A7C15)), begin) + size)
-            for k in range(BANDS):
-                part = np.zeros(len(some), np.uint64)
-                for r in range(ROWS):
-                    low = np.minimum.reduceat(h * _MASK[k * ROWS + r], begin)
-                    part = mix(part + low + np.uint64(k))
-                bands[:, k] = part.astype(np.int64)
-        yield i + owner, number, (name >> np.uint64(1)).astype(np.int64), np.diff(at), some, bands
-        i = j
-
-
-_LINES = "doc_id long, line int, node long, chars int, bands array<long>"
-
-
-def line_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, node, chars, bands) of each line with a visible character; node names its normal form."""
-
-    def run(batches):
-        for batch in batches:
-            ids = batch.column("doc_id")
-            for text, number, name, size, some, bands in _signatures(batch.column("text")):
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(text[some])), pa.array(number[some], pa.int32()), pa.array(name[some]), pa.array(size[some], pa.int32()), flat],
-                    ["doc_id", "line", "node", "chars", "bands"],
-                )
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _LINES)
-
-
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, body): the normal form of each wanted node, from a document that has it."""
-
-    def run(batches):
-        for batch in batches:
-            ids = batch.column("doc_id")
-            lines = batch.column("lines").to_pylist()
-            for first, (data, offsets) in enumerate(text_buffers(batch.column("text").slice(k, 1)) for k in range(len(batch))):
-                b, cuts, _ = _normal(data, offsets)
-                raw = b.tobytes()
-                got = [x for x in lines[first]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x["node"] for x in got], pa.int64()), pa.array([raw[cuts[x["line"]] : cuts[x["line"] + 1]] for x in got], pa.binary())], ["node", "body"]
-                )
-            del ids
-
-    where = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("node", "line")).alias("lines"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(where, "doc_id").select("doc_id", "text", "lines").mapInArrow(run, "node long, body binary")
 
+def _starts(n: Column) -> Column:
+    return F.sequence(F.lit(1), F.greatest(n - (SHINGLE - 1), F.lit(1)))
 
-def _decide(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    both = pairs.join(texts.toDF("a", "body_a"), "a").join(texts.toDF("b", "body_b"), "b").select("a", "b", "body_a", "body_b")
 
-    def shingles(bodies) -> list[np.ndarray]:
-        data = np.frombuffer(b"".join(bodies), np.uint8)
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in bodies])])
-        h, at = _shingles(data, offsets)
-        return [np.unique(h[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
+def signatures(each: DataFrame) -> DataFrame:
+    """(node, bands) of each node of ``lines``."""
+    raw = each.select("node", F.col("body").cast("binary").alias("raw"))
+    at = raw.select("node", "raw", F.explode(_starts(F.octet_length("raw"))).alias("i"))
+    h = at.select("node", F.xxhash64(F.substring("raw", F.col("i"), F.lit(SHINGLE))).alias("h"))
+    cut = lambda k: F.shiftrightunsigned("h", _SHIFTS[k % len(_SHIFTS)]).bitwiseAND(F.lit(_LOW))
+    low = h.groupBy("node").agg(*(F.min(cut(k).bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(_MASKS)))
+    return low.select("node", F.array(*(F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS))).alias("bands"))
 
-    def run(batches):
-        for whole in batches:
-            for at in range(0, len(whole), 1000):
-                batch = whole.slice(at, 1000)
-                keep = []
-                for x, y in zip(shingles(batch.column("body_a").to_pylist()), shingles(batch.column("body_b").to_pylist())):
-                    n = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * n >= percent * (len(x) + len(y) - n))
-                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+def _pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that share a band: each with the two that have the extremes of an order of the band's own."""
+    entries = nodes.select("node", F.posexplode("bands").alias("band", "h"))
+    rank = F.col("node").bitwiseXOR(F.element_at(F.array(*map(F.lit, _PICKS)), F.col("band") + 1))
+    picked = entries.select("h", "band", rank.alias("o")).groupBy("h", "band").agg(F.min("o").alias("lo"), F.max("o").alias("hi")).where("lo != hi")
+    mask = F.element_at(F.array(*map(F.lit, _PICKS)), F.col("band") + 1)
+    picked = settle(picked.select("h", F.array(F.col("lo").bitwiseXOR(mask), F.col("hi").bitwiseXOR(mask)).alias("hubs")), "line-hubs")
+    met = entries.select("node", "h").join(picked, "h").select("node", F.explode("hubs").alias("hub")).where("node != hub")
+    return met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
-#: Band entries of a block, about; what one task holds.
-BLOCK_ENTRIES = 8_000_000
+def _set(body: str) -> Column:
+    return F.array_distinct(F.transform(_starts(F.octet_length(body)), lambda i: F.xxhash64(F.substring(F.col(body), i, F.lit(SHINGLE)))))
 
 
-def _pairs(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes that share a band: each with the shortest of them, and with its neighbour by size.
-
-    Band entries travel packed, by blocks of their hashes; within a block a band's lines are a run of
-    a sorted array, so a run of any length costs what its entries cost.
-    """
-    blocks = max(32, -(-nodes.count() * BANDS // BLOCK_ENTRIES))
-
-    def pack(batches):
-        for batch in batches:
-            node = np.repeat(batch.column("node").to_numpy(), BANDS)
-            size = np.repeat(batch.column("chars").to_numpy(), BANDS)
-            h = batch.column("bands").flatten().to_numpy().view(np.uint64)
-            block = ((h >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
-            order = np.argsort(block, kind="stable")
-            node, size, h, block = node[order], size[order], h[order], block[order]
-            cuts = np.searchsorted(block, np.arange(blocks + 1))
-            some = [k for k in range(blocks) if cuts[k] < cuts[k + 1]]
-            parts = [[x[cuts[k] : cuts[k + 1]].tobytes() for k in some] for x in (h, node, size)]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(x, pa.binary()) for x in parts)], ["block", "h", "node", "size"])
-
-    def meet(key, table):
-        join = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-        h, node, size = join("h", np.uint64), join("node", np.int64), join("size", np.int32)
-        order = np.argsort(h)
-        same = h[order][1:] == h[order][:-1]
-        some = np.append(same, False) | np.append(False, same) if len(order) else np.zeros(0, bool)
-        order = order[some]
-        order = order[np.lexsort((node[order], size[order], h[order]))]
-        h, node, size = h[order], node[order], size[order]
-        if not len(h):
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        first = np.append(True, h[1:] != h[:-1])
-        hub = np.flatnonzero(first)[np.cumsum(first) - 1]
-        rest = np.flatnonzero(~first)
-        x, y = np.concatenate([hub[rest], rest - 1]), np.concatenate([rest, rest])
-        pairs = np.unique(np.sort(np.column_stack([node[x], node[y]]), axis=1), axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    packed = nodes.select("node", "chars", "bands").mapInArrow(pack, "block int, h binary, node binary, size binary")
-    return packed.groupBy("block").applyInArrow(meet, "a long, b long").where("a != b")
+def _decide(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    both = pairs.join(texts.toDF("a", "body_a"), "a").join(texts.toDF("b", "body_b"), "b")
+    sets = both.select("a", "b", _set("body_a").alias("x"), _set("body_b").alias("y"))
+    n = sets.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("n"), (F.size("x") + F.size("y")).cast("long").alias("s"))
+    return n.where(100 * F.col("n") >= percent * (F.col("s") - F.col("n"))).select("a", "b")
 
 
 def line_components(docs: DataFrame, *, percent: int = 80) -> DataFrame:
     """(doc_id, line, root, stays) of each line with a visible character."""
-    lines = settle(line_table(docs), "lines")
-    nodes = lines.groupBy("node").agg(F.min(F.struct("doc_id", "line", "chars", "bands")).alias("x"))
-    nodes = settle(nodes.select("node", "x.doc_id", "x.line", "x.chars", "x.bands"), "line-nodes")
-    pairs = settle(_pairs(nodes).distinct(), "line-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id", "line"), "node")
-    texts = settle(_texts(docs, wanted).dropDuplicates(["node"]), "line-texts")
-    roots = components(settle(_decide(pairs, texts, percent), "line-links"))
-    found = lines.select("doc_id", "line", "node").join(roots, "node", "left").select("doc_id", "line", F.coalesce("root", "node").alias("root"))
+    each = lines(docs)
+    nodes = settle(signatures(each), "line-nodes")
+    pairs = settle(_pairs(nodes), "line-pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = each.select("node", F.col("body").cast("binary").alias("body")).join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    roots = components(settle(_decide(pairs, settle(texts, "line-texts"), percent), "line-links"))
+    found = settle(each.select("doc_id", "line", "node"), "lines").join(roots, "node", "left").select("doc_id", "line", F.coalesce("root", "node").alias("root"))
     first = found.groupBy("root").agg(F.min(F.struct("doc_id", "line")).alias("first"))
     return found.join(first, "root").select("doc_id", "line", "root", ((F.col("doc_id").eqNullSafe(F.col("first.doc_id"))) & (F.col("line") == F.col("first.line"))).alias("stays"))
 
