@@ -74,13 +74,13 @@ def _decide(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 def line_components(docs: DataFrame, *, percent: int = 80) -> DataFrame:
     """(doc_id, line, root, stays) of each line with a visible character."""
-    each = lines(docs)
+    each = settle(lines(docs), "lines")
     nodes = settle(signatures(each), "line-nodes")
     pairs = settle(_pairs(nodes), "line-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = each.select("node", F.col("body").cast("binary").alias("body")).join(wanted, "node", "left_semi").dropDuplicates(["node"])
     roots = components(settle(_decide(pairs, settle(texts, "line-texts"), percent), "line-links"))
-    found = settle(each.select("doc_id", "line", "node"), "lines").join(roots, "node", "left").select("doc_id", "line", F.coalesce("root", "node").alias("root"))
+    found = each.select("doc_id", "line", "node").join(roots, "node", "left").select("doc_id", "line", F.coalesce("root", "node").alias("root"))
     first = found.groupBy("root").agg(F.min(F.struct("doc_id", "line")).alias("first"))
     return found.join(first, "root").select("doc_id", "line", "root", ((F.col("doc_id").eqNullSafe(F.col("first.doc_id"))) & (F.col("line") == F.col("first.line"))).alias("stays"))
 
