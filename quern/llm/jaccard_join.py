@@ -157,7 +157,9 @@ def _candidates(shared: DataFrame, percent: int) -> DataFrame:
     """(node, size, shingles, prefix): nodes of which enough is shared to link at all.
 
     ``shingles`` are the shared ones, packed and ascending; ``prefix`` the keys of those
-    by which a link must show: the rarest, after those that nobody shares.
+    by which a link must show: the rarest, after those that nobody shares.  ``left`` counts,
+    for each of the prefix, the shared shingles from it on: two sets whose first common shingle
+    it is have at most as many in common.
     """
 
     def gather(key, table):
@@ -174,7 +176,7 @@ def _candidates(shared: DataFrame, percent: int) -> DataFrame:
         node, size, h, df = node[order], size[order], h[order], df[order]
         starts = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
         ends = np.append(starts[1:], len(node))
-        out = {"node": [], "size": [], "shingles": [], "prefix": []}
+        out = {"node": [], "size": [], "shingles": [], "prefix": [], "left": []}
         for i, j in zip(starts.tolist(), ends.tolist()):
             n = int(size[i])
             need = -(-percent * n // 100)
@@ -184,9 +186,10 @@ def _candidates(shared: DataFrame, percent: int) -> DataFrame:
             out["size"].append(n)
             out["shingles"].append(np.sort(h[i:j]).tobytes())
             out["prefix"].append(h[i : i + j - i - need + 1].astype(np.int64).tolist())
-        return pa.Table.from_pydict(out, pa.schema([("node", pa.int64()), ("size", pa.int64()), ("shingles", pa.binary()), ("prefix", pa.list_(pa.int64()))]))
+            out["left"].append(list(range(j - i, need - 1, -1)))
+        return pa.Table.from_pydict(out, pa.schema([("node", pa.int64()), ("size", pa.int64()), ("shingles", pa.binary()), ("prefix", pa.list_(pa.int64())), ("left", pa.list_(pa.int64()))]))
 
-    return shared.groupBy("part").applyInArrow(gather, "node long, size long, shingles binary, prefix array<long>")
+    return shared.groupBy("part").applyInArrow(gather, "node long, size long, shingles binary, prefix array<long>, left array<long>")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -238,15 +241,16 @@ def _components_of_sets(docs: DataFrame, table: DataFrame, n: int, percent: int)
     total = table.agg(F.sum("n_shingles")).first()[0] or 0
     blocks = min(1 << 15, max(32, -(-total // BLOCK_SHINGLES)))
     nodes = settle(_candidates(_shared(_incidence(docs, n, blocks)), percent), "candidate-sets")
-    met = settle(nodes.select("node", "size", F.explode("prefix").alias("h")), "prefixes")
+    met = settle(nodes.select("node", "size", F.inline(F.arrays_zip(F.col("prefix").alias("h"), F.col("left").alias("left")))), "prefixes")
     spark = docs.sparkSession
     found = spark.createDataFrame([], "a long, b long")
     labels = None
     tried = None
-    for _ in range(HUB_ROUNDS):
+    for k in range(HUB_ROUNDS):
         here = _labelled(met, labels)
-        # of each shingle, its least node; a node's partner is the one that most of its shingles name
-        hub = here.groupBy("h").agg(F.min(F.struct("root", "node", "size")).alias("hub"), F.max("root").alias("last")).where("hub.root != last")
+        # of each shingle, one node, another in each round; a node's partner is the one that most of its shingles name
+        order = F.xxhash64("root", F.lit(k)).alias("o") if k else F.col("root").alias("o")
+        hub = here.groupBy("h").agg(F.min(F.struct(order, "root", "node", "size")).alias("hub"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("h", "hub")
         named = here.join(hub, "h").where("root != hub.root").where(_sizes("size", "hub.size", percent))
         named = named.groupBy("node", F.col("hub.node").alias("other")).agg(F.count("*").alias("times"))
         if tried is not None:
@@ -264,16 +268,18 @@ def _components_of_sets(docs: DataFrame, table: DataFrame, n: int, percent: int)
     here = _labelled(met, labels)
     mixed = here.groupBy("h").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("h")
     here = settle(here.join(mixed, "h"), "mixed")
-    x, y = here.toDF("h", "a", "size_a", "root_a"), here.toDF("h", "b", "size_b", "root_b")
-    pairs = x.join(y, "h").where("root_a < root_b").where(_sizes("size_a", "size_b", percent)).select("a", "b").distinct()
+    x, y = here.toDF("h", "a", "size_a", "left_a", "root_a"), here.toDF("h", "b", "size_b", "left_b", "root_b")
+    # the first shingle in common leaves room for the overlap that a link needs
+    room = F.expr(f"{100 + percent} * least(left_a, left_b) >= {percent} * (size_a + size_b)")
+    pairs = x.join(y, (x["h"] == y["h"]) & (x["root_a"] < y["root_b"]) & room).where(_sizes("size_a", "size_b", percent)).select("a", "b").distinct()
     found = found.union(settle(_verified(settle(pairs, "pairs"), nodes, percent), "links"))
     return settle(components(found), "components")
 
 
 def _labelled(met: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
-        return met.select("h", "node", "size", F.col("node").alias("root"))
-    return met.join(labels, "node", "left").select("h", "node", "size", F.coalesce("root", "node").alias("root"))
+        return met.select("h", "node", "size", "left", F.col("node").alias("root"))
+    return met.join(labels, "node", "left").select("h", "node", "size", "left", F.coalesce("root", "node").alias("root"))
 
 
 def _sizes(a: str, b: str, percent: int):
