@@ -153,13 +153,18 @@ def _shared(incidence: DataFrame) -> DataFrame:
     return incidence.groupBy("block").applyInArrow(product, "part int, block int, nodes binary, sizes binary, counts binary, high binary, low binary, df binary")
 
 
+#: Places of a set's parity bits.
+PARITIES = 1024
+
+
 def _candidates(shared: DataFrame, percent: int) -> DataFrame:
-    """(node, size, shingles, prefix): nodes of which enough is shared to link at all.
+    """(node, size, shared, shingles, bits, prefix, left): nodes of which enough is shared to link at all.
 
     ``shingles`` are the shared ones, packed and ascending; ``prefix`` the keys of those
     by which a link must show: the rarest, after those that nobody shares.  ``left`` counts,
     for each of the prefix, the shared shingles from it on: two sets whose first common shingle
-    it is have at most as many in common.
+    it is have at most as many in common.  ``shared`` counts the shared shingles, and ``bits`` has
+    the parity of how many fall to each of PARITIES places: two sets differ in at least as many shingles as places.
     """
 
     def gather(key, table):
@@ -176,7 +181,8 @@ def _candidates(shared: DataFrame, percent: int) -> DataFrame:
         node, size, h, df = node[order], size[order], h[order], df[order]
         starts = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
         ends = np.append(starts[1:], len(node))
-        out = {"node": [], "size": [], "shingles": [], "prefix": [], "left": []}
+        places = (mix(h) % np.uint64(PARITIES)).astype(np.int64)
+        out = {"node": [], "size": [], "shared": [], "shingles": [], "bits": [], "prefix": [], "left": []}
         for i, j in zip(starts.tolist(), ends.tolist()):
             n = int(size[i])
             need = -(-percent * n // 100)
@@ -184,12 +190,15 @@ def _candidates(shared: DataFrame, percent: int) -> DataFrame:
                 continue
             out["node"].append(int(node[i]))
             out["size"].append(n)
+            out["shared"].append(j - i)
             out["shingles"].append(np.sort(h[i:j]).tobytes())
+            odd = (np.bincount(places[i:j], minlength=PARITIES) & 1).astype(np.uint8)
+            out["bits"].append(np.packbits(odd).view(np.int64).tolist())
             out["prefix"].append(h[i : i + j - i - need + 1].astype(np.int64).tolist())
             out["left"].append(list(range(j - i, need - 1, -1)))
-        return pa.Table.from_pydict(out, pa.schema([("node", pa.int64()), ("size", pa.int64()), ("shingles", pa.binary()), ("prefix", pa.list_(pa.int64())), ("left", pa.list_(pa.int64()))]))
+        return pa.Table.from_pydict(out, pa.schema([("node", pa.int64()), ("size", pa.int64()), ("shared", pa.int64()), ("shingles", pa.binary()), *((k, pa.list_(pa.int64())) for k in ("bits", "prefix", "left"))]))
 
-    return shared.groupBy("part").applyInArrow(gather, "node long, size long, shingles binary, prefix array<long>, left array<long>")
+    return shared.groupBy("part").applyInArrow(gather, "node long, size long, shared long, shingles binary, bits array<long>, prefix array<long>, left array<long>")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -267,11 +276,16 @@ def _components_of_sets(docs: DataFrame, table: DataFrame, n: int, percent: int)
     # whatever pair of different components is left
     here = _labelled(met, labels)
     mixed = here.groupBy("h").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("h")
-    here = settle(here.join(mixed, "h"), "mixed")
-    x, y = here.toDF("h", "a", "size_a", "left_a", "root_a"), here.toDF("h", "b", "size_b", "left_b", "root_b")
+    bits = [f"bits{k}" for k in range(PARITIES // 64)]
+    parities = nodes.select("node", "shared", *(F.get("bits", F.lit(k)).alias(c) for k, c in enumerate(bits)))
+    here = settle(here.join(mixed, "h").join(parities, "node").select("h", "node", "size", "left", "root", "shared", *bits), "mixed")
+    x, y = (here.toDF("h", side, *(f"{c}_{side}" for c in here.columns[2:])) for side in ("a", "b"))
     # the first shingle in common leaves room for the overlap that a link needs
     room = F.expr(f"{100 + percent} * least(left_a, left_b) >= {percent} * (size_a + size_b)")
-    pairs = x.join(y, (x["h"] == y["h"]) & (x["root_a"] < y["root_b"]) & room).where(_sizes("size_a", "size_b", percent)).select("a", "b").distinct()
+    # and so do the shingles that the parities tell apart
+    apart = " + ".join(f"bit_count({c}_a ^ {c}_b)" for c in bits)
+    alike = F.expr(f"{100 + percent} * (shared_a + shared_b - ({apart})) >= {2 * percent} * (size_a + size_b)")
+    pairs = x.join(y, (x["h"] == y["h"]) & (x["root_a"] < y["root_b"]) & room & alike).where(_sizes("size_a", "size_b", percent)).select("a", "b").distinct()
     found = found.union(settle(_verified(settle(pairs, "pairs"), nodes, percent), "links"))
     return settle(components(found), "components")
 
