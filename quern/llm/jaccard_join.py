@@ -24,7 +24,7 @@ from quern.llm._shared import mix, settle, shingle_sets
 from quern.llm.components import components
 
 #: Shingles of a block, about; what one task holds.
-BLOCK_SHINGLES = 4_000_000
+BLOCK_SHINGLES = 2_000_000
 _LOW = np.uint64(0xFFFFFFFFFFFF)
 
 
@@ -105,21 +105,24 @@ def _shared(incidence: DataFrame) -> DataFrame:
 
     def product(key, table):
         block = key[0].as_py()
-        nodes, sizes, hashes = [], [], []
+        nodes, sizes, owners, hashes, seen = [], [], [], [], 0
         for row in table.select(["nodes", "sizes", "high", "low", "who"]).to_batches():
             for names, lens, high, low, who in zip(*(row.column(k) for k in range(5))):
-                who = np.frombuffer(who.as_buffer(), np.uint16)
-                nodes.append(np.frombuffer(names.as_buffer(), np.int64)[who])
-                sizes.append(np.frombuffer(lens.as_buffer(), np.uint32)[who])
+                nodes.append(np.frombuffer(names.as_buffer(), np.int64))
+                sizes.append(np.frombuffer(lens.as_buffer(), np.uint32))
+                owners.append(np.frombuffer(who.as_buffer(), np.uint16) + np.uint32(seen))
+                seen += len(nodes[-1])
                 hashes.append(np.frombuffer(high.as_buffer(), np.uint32).astype(np.uint64) << np.uint64(16) | np.frombuffer(low.as_buffer(), np.uint16).astype(np.uint64))
-        h, node, size = np.concatenate(hashes), np.concatenate(nodes), np.concatenate(sizes)
-        del hashes, nodes, sizes
+        h = np.concatenate(hashes)
+        del hashes
         order = np.argsort(h)  # entries of one shingle together; most shingles go at once
-        h, node, size = h[order], node[order], size[order]
+        h = h[order]
         again = np.zeros(len(h) + 1, bool)
         again[1:-1] = h[1:] == h[:-1]
         some = again[1:] | again[:-1]
-        h, node, size = h[some], node[some], size[some]
+        owner = np.concatenate(owners)[order[some]]
+        h, node, size = h[some], np.concatenate(nodes)[owner], np.concatenate(sizes)[owner]
+        del owners, nodes, sizes, owner
         order = np.lexsort((node, h))
         h, node, size = h[order], node[order], size[order]
         first = np.ones(len(h), bool)  # copies of a set count once
