@@ -1,11 +1,10 @@
-"""Benchmark decontamination (operator 1): rare n-gram seeds, then Smith-Waterman.
+"""Benchmark decontamination (operator 1): n-gram seeds, then Smith-Waterman.
 
-The seeds are the n-grams of the test items.  One pass over the documents
-counts how many documents have each; an item keeps the rarer half of its seeds
-(all, if they are equally rare), so what everybody writes starts no alignment and a leak
-that thousands of documents carry still does.  A second pass joins documents to items by
-those seeds and aligns each item with the words around its seeds.  Texts
-are never shuffled; what moves is a count for each seed and the result.
+The seeds are all n-grams of the test items.  One pass over the documents joins them to
+items by those seeds and aligns each item with the words around its seeds, unless too few
+of the item's words stand there for the score.  No seed is dropped for being frequent: which
+ones an edited copy keeps cannot be told from how many documents have them.  Texts
+are never shuffled; what moves is the result.
 
 Items are taken in blocks of at most ``block_seeds`` seeds, so what is sent to the executors has
 that bound at any size of the benchmark.
@@ -42,16 +41,13 @@ class ItemBlock:
     bits: np.ndarray  # a quick filter by the lowest 20 bits
 
     @classmethod
-    def make(cls, item_ids, words, n, wanted: dict[int, np.ndarray] | None = None) -> ItemBlock:
+    def make(cls, item_ids, words, n) -> ItemBlock:
         hashes, items, ats = [], [], []
         for k, w in enumerate(words):
             g = gram_hashes(w, n)
-            at = np.arange(len(g))
-            if wanted is not None:
-                at = at[wanted[k]]
-            hashes.append(g[at])
-            items.append(np.full(len(at), k))
-            ats.append(at)
+            hashes.append(g)
+            items.append(np.full(len(g), k))
+            ats.append(np.arange(len(g)))
         h, item, at = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (hashes, items, ats))
         order = np.argsort(h, kind="stable")
         h, item, at = h[order].astype(np.uint64), item[order], at[order]
@@ -104,28 +100,6 @@ def _own(w, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return text, at + n <= w.first[text + 1]
 
 
-def _document_counts(docs: DataFrame, block: ItemBlock, n: int) -> np.ndarray:
-    """How many documents have each seed of ``block``."""
-    sent = docs.sparkSession.sparkContext.broadcast(block)
-
-    def count(batches):
-        block = sent.value
-        total = np.zeros(len(block.seeds), np.int64)
-        for batch in batches:
-            for _, w, _, grams in _scanned(batch, n):
-                at, seed = block.hits(grams)
-                text, whole = _own(w, at, n)
-                pairs = np.unique(text[whole] * len(block.seeds) + seed[whole])
-                np.add.at(total, pairs % max(1, len(block.seeds)), 1)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["seed", "n"])
-
-    out = np.zeros(len(block.seeds), np.int64)
-    for row in docs.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toLocalIterator():
-        out[row["seed"]] = row["n"]
-    return out
-
-
 def align(windows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Smith-Waterman of (item, passage) pairs: best scores, first and end words in the passage.
 
@@ -174,13 +148,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, n: int = 3, min_score: f
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     result = spark.createDataFrame([], SCHEMA)
     for ids, words in _item_blocks(items, n, block_seeds):
-        every = ItemBlock.make(ids, words, n)
-        df = _document_counts(docs, every, n)
-        wanted = {}
-        for k, w in enumerate(words):
-            own = df[np.searchsorted(every.seeds, gram_hashes(w, n))]
-            wanted[k] = own <= np.median(own)
-        sent = spark.sparkContext.broadcast(ItemBlock.make(ids, words, n, wanted))
+        sent = spark.sparkContext.broadcast(ItemBlock.make(ids, words, n))
         result = result.unionAll(docs.mapInArrow(_aligner(sent, n, min_score), SCHEMA))
     return result
 
@@ -207,7 +175,9 @@ def _aligner(sent, n: int, min_score: float):
                         while j + 1 < len(begins) and begins[j + 1] - begins[j] <= size and begins[j + 1] - begins[i] <= 2 * size:
                             j += 1
                         a, b = max(lo, begins[i] - size), min(hi, begins[j] + 2 * size)
-                        waiting.append((first + t, item, j - i + 1, a - lo, words[a:b]))
+                        # the score is at most MATCH for each item word that stands there
+                        if np.count_nonzero(np.isin(block.words[item], words[a:b])) / size >= min_score:
+                            waiting.append((first + t, item, j - i + 1, a - lo, words[a:b]))
                         i = j + 1
             waiting.sort(key=lambda x: (len(block.words[x[1]]), len(x[4])))
             found: dict[tuple[int, int], tuple] = {}
