@@ -4,6 +4,8 @@ Equal lines are one node.  A line's set is its distinct shingles of eight UTF-8
 lowered, runs of white space as one space); lines link if the sets' Jaccard similarity is at least the
 threshold.  Signatures are cut into bands; the lines of a band each meet two of them that
 the band picks, others in each band, and every pair met is decided by the exact similarity.
+Then lines of a band that are still in different components meet one another, unless sizes or
+parities rule a link out, so each link that has a band in common is decided.
 One line of each component stays: the first by (doc_id, line).
 
 All of it is DataFrame functions: shingles are an explode that feeds the minima within one
@@ -50,17 +52,60 @@ def signatures(each: DataFrame) -> DataFrame:
     return low.select("node", F.array(*(F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS))).alias("bands"))
 
 
-def _pairs(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes that share a band: each with the two that have the extremes of an order of the band's own."""
+def _buckets(nodes: DataFrame) -> DataFrame:
+    """(h, node, hubs) of the bands that several nodes have; hubs are the two that have the extremes of an order of the band's own."""
     entries = nodes.select("node", F.posexplode("bands").alias("band", "h"))
-    rank = F.col("node").bitwiseXOR(F.element_at(F.array(*map(F.lit, _PICKS)), F.col("band") + 1))
-    picked = entries.select("h", "band", rank.alias("o")).groupBy("h", "band").agg(F.min("o").alias("lo"), F.max("o").alias("hi")).where("lo != hi")
     mask = F.element_at(F.array(*map(F.lit, _PICKS)), F.col("band") + 1)
+    picked = entries.select("h", "band", F.col("node").bitwiseXOR(mask).alias("o")).groupBy("h", "band").agg(F.min("o").alias("lo"), F.max("o").alias("hi")).where("lo != hi")
     picked = settle(picked.select("h", F.array(F.col("lo").bitwiseXOR(mask), F.col("hi").bitwiseXOR(mask)).alias("hubs")), "line-hubs")
-    met = entries.select("node", "h").join(picked, "h").select("node", F.explode("hubs").alias("hub")).where("node != hub")
+    return entries.select("node", "h").join(picked, "h").select("h", "node", "hubs")
+
+
+def _hub_pairs(buckets: DataFrame) -> DataFrame:
+    """Pairs (a, b): each node of a band with the band's hubs."""
+    met = buckets.select("node", F.explode("hubs").alias("hub")).where("node != hub")
     return met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
+#: Words of 64 places of a set's parity bits, and nodes of a band that one join key has on a side.
+_WORDS = 8
+_CHUNK = 4096
+
+
+def _parities(texts: DataFrame) -> DataFrame:
+    """(node, size, bits0, ...): the set's size, and the parity of how many of it fall to each place.
+
+    Two sets differ in at least as many shingles as their parities do in places.
+    """
+    each = texts.select("node", F.explode(_set("body")).alias("s"))
+    word = [F.expr(f"bit_xor(if((s >> 6 & {_WORDS - 1}) = {k}, shiftleft(1L, cast(s & 63 as int)), 0L))").alias(f"bits{k}") for k in range(_WORDS)]
+    return each.groupBy("node").agg(F.count("*").alias("size"), *word)
+
+
+def _rest_pairs(buckets: DataFrame, labels: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a band and of different components that sizes and parities leave room for."""
+    here = buckets.select("h", "node").join(labels, "node", "left").select("h", "node", F.coalesce("root", "node").alias("root"))
+    # a pair of two components has a side that is not of the band's largest
+    each = here.groupBy("h", "root").agg(F.count("*").alias("n"))
+    mixed = each.groupBy("h").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top")).where("roots > 1")
+    parts = lambda n: F.ceil(n / _CHUNK).cast("int")
+    mixed = mixed.select("h", F.col("top.root").alias("top"), parts(F.col("n") - F.col("top.n")).alias("few"), parts(F.col("n")).alias("all"))
+    here = settle(here.join(mixed, "h"), "line-mixed")
+    sets = settle(_parities(texts.join(here.select("node").distinct(), "node", "left_semi")), "line-parities")
+    here = here.join(sets, "node")
+    bits = [f"bits{k}" for k in range(_WORDS)]
+    spread = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    named = lambda side: [F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "size", *bits)]
+    x = here.where("root != top").select("h", "top", spread("few", 0).alias("i"), every("all").alias("j"), *named("a"))
+    y = here.select("h", every("few").alias("i"), spread("all", 1).alias("j"), *named("b"))
+    apart = " + ".join(f"bit_count({c}_a ^ {c}_b)" for c in bits)
+    alike = f"{100 + percent} * (size_a + size_b - ({apart})) >= {2 * percent} * (size_a + size_b)"
+    once = F.expr(f"(root_b = top or root_a < root_b) and 100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b) and {alike}")
+    met = x.join(y, ["h", "i", "j"]).where(once)
+    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
 def _set(body: str) -> Column:
     return F.array_distinct(F.transform(_starts(F.octet_length(body)), lambda i: F.xxhash64(F.substring(F.col(body), i, F.lit(SHINGLE)))))
 
@@ -76,10 +121,13 @@ def line_components(docs: DataFrame, *, percent: int = 80) -> DataFrame:
     """(doc_id, line, root, stays) of each line with a visible character."""
     each = settle(lines(docs), "lines")
     nodes = settle(signatures(each), "line-nodes")
-    pairs = settle(_pairs(nodes), "line-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = each.select("node", F.col("body").cast("binary").alias("body")).join(wanted, "node", "left_semi").dropDuplicates(["node"])
-    roots = components(settle(_decide(pairs, settle(texts, "line-texts"), percent), "line-links"))
+    buckets = settle(_buckets(nodes), "line-buckets")
+    texts = each.select("node", F.col("body").cast("binary").alias("body")).join(buckets.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    texts = settle(texts, "line-texts")
+    links = settle(_decide(settle(_hub_pairs(buckets), "line-pairs"), texts, percent), "line-links")
+    labels = settle(components(links), "line-labels")
+    more = settle(_decide(settle(_rest_pairs(buckets, labels, texts, percent), "line-pairs"), texts, percent), "line-links")
+    roots = components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     found = each.select("doc_id", "line", "node").join(roots, "node", "left").select("doc_id", "line", F.coalesce("root", "node").alias("root"))
     first = found.groupBy("root").agg(F.min(F.struct("doc_id", "line")).alias("first"))
     return found.join(first, "root").select("doc_id", "line", "root", ((F.col("doc_id").eqNullSafe(F.col("first.doc_id"))) & (F.col("line") == F.col("first.line"))).alias("stays"))
@@ -89,7 +137,7 @@ def dedup_lines(docs: DataFrame, *, percent: int = 80) -> DataFrame:
     """One row for each doc_id: doc_id, n_lines, n_removed, removed_lines.
 
     Lines are counted from 0 in the text split at \\n; blank lines are neither counted nor removed.
-    ``removed_lines`` are near copies (Jaccard of character shingles >= percent / 100, found with high recall and
+    ``removed_lines`` are near copies (Jaccard of character shingles >= percent / 100, met by bands with high recall and
     decided exactly) of a line that stays.
 
     Null, empty and blank texts have no lines.  Rows that repeat a doc_id give one row; equal lines of them

@@ -18,3 +18,29 @@ def test_decontamination_aligns_copies_that_keep_few_seeds(spark):
         for others in ([], [" ".join(item)], [changed(step, f"m{k}x") for k in range(50)]):
             got = {r["doc_id"]: r["score"] for r in decontaminate(documents(spark, [edited, prose(62), *others]), items).collect()}
             assert set(got) == {0, *range(2, 2 + len(others))} and got[0] >= 0.6
+
+
+def test_line_dedup_decides_every_banded_link(spark):
+    from quern.llm.line_dedup import SHINGLE, line_components, lines, signatures
+
+    # many families of near copies of one template: most of a band is of other families than its two hubs
+    head = prose(70, 12)
+    texts = [f"{head} {prose(100 + k // 2, 3)} {k % 2}" for k in range(600)]
+    docs = documents(spark, texts)
+    got = {r["doc_id"]: r["root"] for r in line_components(docs).collect()}
+    bands = {r["doc_id"]: set(r["bands"]) for r in lines(docs).join(signatures(lines(docs)), "node").collect()}
+    sets = [{x[k : k + SHINGLE] for k in range(max(1, len(x) - SHINGLE + 1))} for x in texts]
+    met = [(i, j) for i in range(len(texts)) for j in range(i) if bands[i] & bands[j]]
+    links = [(i, j) for i, j in met if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    assert len(met) > 5 * len(links) and all(got[i] == got[j] for i, j in links)
+    up = {k: k for k in got}
+
+    def find(k):
+        while up[k] != k:
+            up[k] = up[up[k]]
+            k = up[k]
+        return k
+
+    for i, j in links:
+        up[find(i)] = find(j)
+    assert len(set(got.values())) == len({find(k) for k in got})
