@@ -26,6 +26,8 @@ _FURNITURE = frozenset(["nav", "footer", "aside", "form", "menu", "dialog", "fie
 _FURNITURE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright discussion disclaimer disqus footer form header login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget widgets".split()
 )
+#: Words that may stand beside one of those in a name of furniture.
+_PLACE_WORDS = frozenset("area bar block bottom box btn button buttons container footer global header icons inner item left link links list main outer page panel primary right secondary section site slot the top unit wrap wrapper".split())
 _HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 _IMPLIED = {"p": _BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"])}
 
@@ -48,6 +50,12 @@ LABELLED = (
     ((6, 0.0, 2, 50, 1.0, 0.0, 0, 0, 1), 1), ((5, 0.0, 40, 60, 0.0, 0.0, 0, 0, 1), 1), ((12, 0.0, 12, 14, 0.0, 0.0, 0, 0, 0), 1), ((11, 0.0, 45, 2, 0.0, 1.0, 0, 0, 0), 1),
     ((1, 1.0, 1, 1, 1.0, 1.0, 0, 0, 0), 0), ((3, 1.0, 2, 3, 1.0, 1.0, 0, 0, 0), 0), ((6, 0.9, 4, 6, 0.8, 0.9, 0, 0, 0), 0), ((20, 0.8, 20, 20, 0.8, 0.8, 0, 0, 0), 0),
     ((2, 0.0, 1, 1, 1.0, 1.0, 0, 0, 0), 0), ((3, 0.0, 2, 0, 1.0, 0.0, 0, 0, 0), 0), ((4, 0.0, 0, 1, 0.0, 1.0, 0, 0, 0), 0), ((30, 0.7, 40, 40, 0.0, 0.0, 0, 0, 0), 0),
+    # article blocks that come first on the page, follow a menu directly or stand alone; link lists of an article
+    ((5, 0.0, 0, 60, 0.0, 0.0, 1, 0, 1), 1), ((60, 0.0, 0, 60, 0.0, 0.0, 1, 0, 0), 1), ((120, 0.0, 0, 0, 0.0, 0.0, 1, 0, 0), 1), ((3, 0.0, 0, 2, 0.0, 1.0, 1, 0, 0), 1),
+    ((8, 0.0, 2, 12, 1.0, 0.0, 1, 0, 1), 1), ((200, 0.0, 1, 6, 1.0, 0.0, 1, 0, 0), 1), ((4, 0.0, 1, 0, 1.0, 0.0, 1, 0, 0), 1), ((6, 1.0, 2, 12, 1.0, 0.0, 1, 0, 1), 1),
+    ((6, 1.0, 2, 60, 1.0, 0.0, 1, 0, 1), 1), ((2, 1.0, 2, 2, 1.0, 1.0, 1, 0, 0), 0), ((4, 1.0, 5, 3, 1.0, 1.0, 1, 0, 0), 0), ((40, 0.9, 60, 60, 0.0, 0.0, 1, 0, 0), 0),
+    # long text and titles in those places on pages without an article
+    ((5, 0.0, 0, 60, 0.0, 0.0, 0, 0, 1), 1), ((80, 0.0, 0, 60, 0.0, 0.0, 0, 0, 0), 1), ((120, 0.0, 0, 0, 0.0, 0.0, 0, 0, 0), 1), ((90, 0.0, 1, 6, 1.0, 0.0, 0, 0, 0), 1),
 )
 
 
@@ -84,42 +92,51 @@ def classify(features: tuple) -> int:
 
 
 class _Block:
-    __slots__ = ("article", "furniture", "heading", "linked", "text", "words")
+    __slots__ = ("article", "heading", "linked", "named", "sure", "text", "words")
 
-    def __init__(self, text, linked, article, furniture, heading):
+    def __init__(self, text, linked, article, sure, named, heading):
         self.text, self.words, self.linked = text, len(text.split()), linked
-        self.article, self.furniture, self.heading = article, furniture, heading
+        self.article, self.sure, self.named, self.heading = article, sure, named, heading
 
     @property
     def density(self) -> float:
         return min(1.0, self.linked / self.words) if self.words else 0.0
 
+    @property
+    def furniture(self) -> bool:
+        return self.sure or any(x[0] for x in self.named)
+
 
-def _is_furniture(name: str, rest: str, in_article: bool) -> bool:
-    if name in _FURNITURE or name == "header" and not in_article:
-        return True
-    if name in ("body", "html", "article", "main") or "=" not in rest:
+def _is_named_furniture(rest: str) -> bool:
+    """Whether a class, id or role as a whole names furniture: of words for furniture, and words for places beside them."""
+    if "=" not in rest:
         return False
     for m in _NAMED.finditer(rest):
-        value = html.unescape(m[2] or m[3] or m[4] or "")
-        if _FURNITURE_WORDS & set(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower())):
-            return True
+        for name in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", html.unescape(m[2] or m[3] or m[4] or "")).lower().split():
+            words = set(re.findall(r"[^\W\d_]+", name))
+            if words & _FURNITURE_WORDS and words <= _FURNITURE_WORDS | _PLACE_WORDS:
+                return True
     return False
 
 
+_NOWHERE = ("", False, False, ())
+
+
 def blocks(page: str) -> list[_Block]:
     """The text blocks of a page in page order, empty ones left out."""
     out: list[_Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, in an article, in furniture
+    # open elements: name, in an article, in furniture by an element, and those around that are furniture by name, each [yes]
+    stack: list[tuple[str, bool, bool, tuple[list[bool], ...]]] = []
     parts: list[str] = []
     linked, link, heading, head = 0, 0, False, False
+    articles = False  # whether an article that no name says to be furniture has begun
 
     def close():
         nonlocal parts, linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            article, furniture = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            out.append(_Block(text, linked, article, furniture, heading))
+            _, article, sure, around = stack[-1] if stack else _NOWHERE
+            out.append(_Block(text, linked, article, sure, around, heading))
         parts, linked = [], 0
 
     def say(text: str):
@@ -163,9 +180,19 @@ def blocks(page: str) -> list[_Block]:
         elif name not in _VOID:
             while stack and name in _IMPLIED.get(stack[-1][0], ()):
                 stack.pop()
-            article, furniture = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            furniture = furniture or _is_furniture(name, m["rest"], article)
-            stack.append((name, article or name in ("article", "main"), furniture))
+            _, article, sure, around = stack[-1] if stack else _NOWHERE
+            named = _is_named_furniture(m["rest"])
+            if name in ("article", "main"):
+                if name == "main" or not named and not articles:
+                    for x in around:  # what holds the page's text is no furniture, whatever its name
+                        x[0] = False
+                articles = articles or name == "article" and not named
+                article = True
+            elif name in _FURNITURE or name == "header" and not article:
+                sure = True
+            elif named and name not in ("body", "html"):
+                around = (*around, [True])
+            stack.append((name, article, sure, around))
         heading = bool(stack) and stack[-1][0] in _HEADINGS
     if at < len(page):
         say(re.sub(r"<[a-zA-Z/][^>]*\Z", "", page[at:]))
@@ -176,7 +203,7 @@ def blocks(page: str) -> list[_Block]:
 def main_text(page: str | None) -> str:
     """Main text of a page: its main blocks, joined by newlines."""
     found = blocks(page or "")
-    none = _Block("", 0, False, False, False)
+    none = _Block("", 0, False, False, (), False)
     out = []
     for k, b in enumerate(found):
         p, q = found[k - 1] if k else none, found[k + 1] if k + 1 < len(found) else none

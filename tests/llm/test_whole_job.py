@@ -44,3 +44,22 @@ def test_line_dedup_decides_every_banded_link(spark):
     for i, j in links:
         up[find(i)] = find(j)
     assert len(set(got.values())) == len({find(k) for k in got})
+
+
+def test_html_keeps_article_text_wherever_it_stands():
+    from quern.llm.html_text import main_text
+
+    def long(k):
+        return " ".join(f"word{k}x{i}" for i in range(50))
+
+    menu = "<nav><ul><li><a href=/>Home</a><li><a href=/x>More</a></ul></nav>"
+    foot = "<footer><p>All rights reserved.</p></footer>"
+    assert main_text(f"<body><article><h1>Title</h1><p>{long(1)}</p><p>{long(2)}</p></article>{foot}") == f"Title\n{long(1)}\n{long(2)}"
+    assert main_text(f"<body><article><p>{long(1)}</p></article></body>") == main_text(f"<body><p>{long(1)}</p></body>") == long(1)
+    assert main_text(f"<body>{menu}<article><h1>Title</h1><p>A short start.</p><p>{long(2)}</p></article>{foot}") == f"Title\nA short start.\n{long(2)}"
+    assert main_text(f"<body>{menu}<article><p>{long(1)}</p></article>{foot}") == main_text(f"<body>{menu}<p>{long(1)}</p>{foot}") == long(1)
+    for name in ("ad-free layout", "has-sidebar", "content-with-nav", "search"):
+        assert main_text(f'<body>{menu}<div class="{name}"><article><h1>Title</h1><p>{long(1)}</p></article></div>{foot}') == f"Title\n{long(1)}"
+    comments = f'<section id="comments"><article><p>{long(3)}</p></article></section><div class="site-footer"><p>{long(4)}</p></div><div class="ad"><p>{long(5)}</p></div>'
+    assert main_text(f"<body>{menu}<main><article><p>{long(1)}</p></article>{comments}</main>") == long(1)
+    assert main_text(f"<body>{menu}<article><p>{long(1)}</p><ul><li><a href=/1>One</a><li><a href=/2>Two</a><li><a href=/3>Three</a></ul></article>").startswith(long(1))
