@@ -6,7 +6,8 @@ is confirmed; the method adds kinds that need a checksum or context to be believ
 
 Repeated groups are possessive and start only where a run of their characters
 starts (or the last match ended), which is the same leftmost match and takes neither a
-stack nor the square of a long run.
+stack nor the square of a long run.  Where an IBAN ends no pattern can tell: one proposes its
+head and the characters that may follow, and of the ends of words there the checksum takes one.
 """
 
 from __future__ import annotations
@@ -35,10 +36,19 @@ BASE = (
 )
 #: Kinds that the method adds.
 ADDED = (
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", 0.9, "iban|account|bank", "serial"),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?))", 0.9, "iban|account|bank", "serial"),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.3, "ssn|social|security", "phone|fax"),
 )
 KINDS = BASE + ADDED
+#: Characters of an IBAN by country, as registered.
+IBAN_LENGTHS = {
+    c: int(x[:2])
+    for x in (
+        "15NO 16BE 18DKFIFOGLNLSDFK 19MKSI 20ATBAEEKZLTLUXKMN 21CHHRLILV 22BGBHCRDEGBGEIEMERSVA 23AEGIILIQTLSOOM 24ADCZESMDPKROSASESKTNVG "
+        "25LYPTST 26ISTR 27BIDJFRGRITMCMRSM 28ALAZBYCYDOGTHULBNIPLSV 29BREGPSQAUA 30JOKWMUYE 31MTSC 32LC 33RU"
+    ).split()
+    for c in map("".join, zip(x[2::2], x[3::2]))
+}
 CONTEXT_CHARS = 40
 CONTEXT_WEIGHT = 0.3
 LEAST_SCORE = 0.5  # for added kinds
@@ -58,15 +68,36 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), add) % 10 == 0
 
 
-def _mod97(found: Column) -> Column:
-    bare = F.translate(found, " ", "")
-    turned = F.concat(F.substr(bare, F.lit(5)), F.substring(bare, 1, 4))
+def _mod97(bare: Column) -> Column:
+    def sum_up(turned: Column) -> Column:
+        def add(rest: Column, k: Column) -> Column:
+            c = F.ascii(F.substring(turned, k, F.lit(1)))
+            return F.when(c < 58, (rest * 10 + (c - 48)) % 97).otherwise((rest * 100 + (c - 55)) % 97)
 
-    def add(rest: Column, k: Column) -> Column:
-        c = F.ascii(F.substring(turned, k, F.lit(1)))
-        return F.when(c < 58, (rest * 10 + (c - 48)) % 97).otherwise((rest * 100 + (c - 55)) % 97)
+        return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), add) == 1
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), add) == 1
+    return _let(F.concat(F.substr(bare, F.lit(5)), F.substring(bare, 1, 4)), sum_up)
+
+
+def _iban(head: Column, tail: Column) -> Column:
+    """The IBAN from ``head`` on, null if none: of the ends of words in ``tail`` that mod 97 confirms the one of the
+    country's length; else all of the tail, or for countries without a known length the longest."""
+    lengths = F.create_map(*(F.lit(x) for item in IBAN_LENGTHS.items() for x in item))
+
+    def pick(words: Column) -> Column:
+        ends = F.transform(F.sequence(F.lit(1), F.size(words)), lambda k: F.concat(head, F.array_join(F.slice(words, F.lit(1), k), " ")))
+        each = F.transform(ends, lambda e: F.struct(e.alias("found"), F.translate(e, " ", "").alias("bare")))
+        sure = F.filter(each, lambda e: F.when(F.length(e["bare"]).between(15, 34) & ~e["found"].rlike("[a-z ]$"), _mod97(e["bare"])).otherwise(False))
+        size = F.element_at(lengths, F.left(head, F.lit(2)))
+        whole = F.concat(head, tail)
+        return _let(
+            sure,
+            lambda s: F.coalesce(
+                F.get(F.filter(s, lambda e: F.length(e["bare"]) == size), F.lit(0)), F.get(F.filter(s, lambda e: size.isNull() | (e["found"] == whole)), F.size(F.filter(s, lambda e: size.isNull() | (e["found"] == whole))) - 1)
+            )["found"],
+        )
+
+    return _let(F.split(tail, " "), pick)
 
 
 def _confirmed(kind: str, found: Column) -> Column:
@@ -77,8 +108,6 @@ def _confirmed(kind: str, found: Column) -> Column:
         return F.when(F.length(digits).between(12, 19), _let(digits, _luhn)).otherwise(False)
     if kind == "phone":
         return F.length(F.translate(found, "+ ().-", "")).between(9, 15)
-    if kind == "iban":
-        return F.when(F.length(F.translate(found, " ", "")).between(15, 34), _mod97(found)).otherwise(False)
     return F.lit(True)
 
 
@@ -107,12 +136,22 @@ def _before(lengths: Column) -> Column:
 _SPAN = "array<struct<start:int,rank:int,kind:string,end:int,score:double>>"
 
 
-def _spans(kind: Kind, rank: int, found: Column, gaps: Column) -> Column:
-    """Confirmed spans of one kind, from its matches and the text between them."""
+def _apart(spans: Column) -> Column:
+    """Those of ``spans`` that do not start within the last one taken before."""
+    first = F.slice(spans, F.lit(1), F.lit(1))
+    return F.aggregate(spans, first, lambda taken, x: F.when(x["start"] >= F.get(taken, F.size(taken) - 1)["end"], F.concat(taken, F.array(x))).otherwise(taken))
+
+
+def _spans(kind: Kind, rank: int, found: Column, gaps: Column, tails: Column | None = None) -> Column:
+    """Confirmed spans of one kind, from its matches and the text between them; with ``tails`` a match is a head only."""
     n = F.size(found)
     lengths = F.zip_with(F.slice(gaps, F.lit(1), n), found, lambda g, m: F.length(g) + F.length(m))
     raw = F.arrays_zip(found.alias("m"), _before(lengths).alias("b"), F.slice(gaps, F.lit(1), n).alias("g"), F.slice(gaps, F.lit(2), n).alias("h"))
-    sure = F.filter(raw, lambda x: _confirmed(kind.name, x["m"]))
+    if tails is None:
+        sure = F.filter(raw, lambda x: _confirmed(kind.name, x["m"]))
+    else:
+        whole = F.zip_with(raw, tails, lambda x, t: x.withField("m", _iban(x["m"], t)).withField("h", F.concat(x["m"], x["h"])))
+        sure = F.transform(F.filter(whole, lambda x: x["m"].isNotNull()), lambda x: x.withField("h", F.substr(x["h"], F.length(x["m"]) + 1)))
 
     def scored(x: Column) -> Column:
         near = F.lower(F.concat(F.right(x["g"], F.lit(CONTEXT_CHARS)), F.lit(" "), F.left(x["h"], F.lit(CONTEXT_CHARS))))
@@ -122,6 +161,8 @@ def _spans(kind: Kind, rank: int, found: Column, gaps: Column) -> Column:
         return F.struct(start.cast("int").alias("start"), F.lit(rank).alias("rank"), F.lit(kind.name).alias("kind"), (start + F.length(x["m"])).cast("int").alias("end"), score.alias("score"))
 
     out = F.transform(sure, scored)
+    if tails is not None:
+        out = _apart(out)
     if kind in ADDED:
         out = F.filter(out, lambda x: x["score"] >= LEAST_SCORE)
     return F.when(n > 0, out).otherwise(F.array().cast(_SPAN))
@@ -141,11 +182,12 @@ def find_pii(docs: DataFrame) -> DataFrame:
     read.  An empty table gives an empty result.
     """
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    out = out.select("doc_id", "text", *(F.regexp_extract_all("text", F.lit(k.pattern), F.lit(0)).alias(f"m_{k.name}") for k in KINDS))
+    out = out.select("doc_id", "text", *(F.regexp_extract_all("text", F.lit(k.pattern), F.lit(0)).alias(f"m_{k.name}") for k in KINDS), *(F.regexp_extract_all("text", F.lit(k.pattern), F.lit(1)).alias(f"t_{k.name}") for k in KINDS if k.name == "iban"))
+    tails = {k.name: F.col(f"t_{k.name}") for k in KINDS if k.name == "iban"}
     empty = F.array().cast("array<string>")
     gaps = (F.when(F.size(f"m_{k.name}") > 0, F.split("text", k.pattern, -1)).otherwise(empty).alias(f"g_{k.name}") for k in KINDS)
     out = out.select("*", *gaps)
-    out = out.select("doc_id", *(_spans(k, r, F.col(f"m_{k.name}"), F.col(f"g_{k.name}")).alias(k.name) for r, k in enumerate(KINDS)))
+    out = out.select("doc_id", *(_spans(k, r, F.col(f"m_{k.name}"), F.col(f"g_{k.name}"), tails.get(k.name)).alias(k.name) for r, k in enumerate(KINDS)))
     sort = lambda kinds: F.array_sort(F.concat(*(F.col(k.name) for k in kinds)))
     out = out.select("doc_id", *(F.size(k.name).cast("long").alias(f"n_{k.name}") for k in BASE), sort(BASE).alias("base"), sort(KINDS).alias("all"))
     return out.select(

@@ -63,3 +63,16 @@ def test_html_keeps_article_text_wherever_it_stands():
     comments = f'<section id="comments"><article><p>{long(3)}</p></article></section><div class="site-footer"><p>{long(4)}</p></div><div class="ad"><p>{long(5)}</p></div>'
     assert main_text(f"<body>{menu}<main><article><p>{long(1)}</p></article>{comments}</main>") == long(1)
     assert main_text(f"<body>{menu}<article><p>{long(1)}</p><ul><li><a href=/1>One</a><li><a href=/2>Two</a><li><a href=/3>Three</a></ul></article>").startswith(long(1))
+
+
+def test_iban_before_words_numbers_and_other_ibans(spark):
+    from quern.llm.pii import IBAN_LENGTHS, find_pii
+
+    gb, de, no = "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "NO93 8601 1117 947"
+    assert IBAN_LENGTHS["GB"] == 22 and IBAN_LENGTHS["MT"] == 31
+    afters = ["", " Please pay", " Bank", " BIC DEUTDEFF", " 5 times", ", now", ".", " a", " I", "\nX1"]
+    texts = [f"é to {x}{after}" for x in (gb, de, no) for after in afters] + [f"{gb} {de} {no}", f"{gb}x", f"{de}0", gb.replace("32", "33") + " Please", f"{no}, {gb} {gb}", "XX" + "1" * 30]
+    got = [r["spans"] for r in find_pii(documents(spark, texts)).orderBy("doc_id").collect()]
+    found = [[tuple(map(int, x.split(":")[1:])) for x in spans.split(",") if x.startswith("iban")] for spans in got]
+    assert found[:30] == [[(5, 5 + len(x))] for x in (gb, de, no) for _ in afters]
+    assert [[t[a:b] for a, b in f] for t, f in zip(texts[30:35], found[30:35])] == [[gb, de, no], [], [], [], [no, gb, gb]]
