@@ -114,12 +114,14 @@ def plan(sizes: dict[str | None, int], weights=WEIGHTS, block_words: int = BLOCK
 
 
 def mix_sources(docs: DataFrame, *, weights=WEIGHTS, block_words: int = BLOCK_WORDS, most: int = MOST_PASSES, seed: int = 20240607) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, size, source_size, target, taken, first_word, passes.
+    """One row for each row of ``docs``: doc_id, size, source_size, target, taken, first_word, passes,
+    blocks, rest_blocks, turn, block_words.
 
     ``size`` counts words (null text: 0); sources by code point, null last, weigh ``weights`` in turn.
     ``taken`` counts the words that the mix takes, repeats included:
     ``passes`` whole passes, and of the last, partial pass the rest.  ``first_word`` is the
-    place of the document on its source's line.
+    place of the document on its source's line.  ``block_words`` is the size of blocks that was used: more
+    than was asked for if a source would have over 2**30 of them.
 
     A null doc_id, repeated rows and empty texts keep their rows (an empty text gives
     nothing).  Other columns are not read.  An empty table gives an empty result.
@@ -141,7 +143,7 @@ def mix_sources(docs: DataFrame, *, weights=WEIGHTS, block_words: int = BLOCK_WO
     placed = _placed(sized, seed).join(sources, F.col("source").eqNullSafe(F.col("name")), "left")
     size, first = F.col("size"), F.col("first_word")
     part = _chosen_words(first + size, made.block_words) - _chosen_words(first, made.block_words)
-    return placed.select("doc_id", "size", "source_size", "target", (F.col("passes") * size + part).cast("long").alias("taken"), "first_word", "passes", "blocks", F.col("rest").alias("rest_blocks"), "turn")
+    return placed.select("doc_id", "size", "source_size", "target", (F.col("passes") * size + part).cast("long").alias("taken"), "first_word", "passes", "blocks", F.col("rest").alias("rest_blocks"), "turn", F.lit(made.block_words).cast("long").alias("block_words"))
 
 
 def _chosen_words(x: Column, block: int) -> Column:
@@ -183,9 +185,8 @@ def mix_passages(docs: DataFrame, **options) -> DataFrame:
     A document of which nothing is taken has no row.  Of rows that share a doc_id, each gives what one of them is to give.
     """
     parts = settle(mix_sources(docs, **options), "mix").dropDuplicates(["doc_id"])
-    block = options.get("block_words", BLOCK_WORDS)
     own = parts.select(
-        F.struct("doc_id", "size", "first_word", "passes", (F.col("taken") - F.col("passes") * F.col("size")).alias("rest"), "blocks", "rest_blocks", "turn").alias("__mix")
+        F.struct("doc_id", "size", "first_word", "passes", (F.col("taken") - F.col("passes") * F.col("size")).alias("rest"), "blocks", "rest_blocks", "turn", "block_words").alias("__mix")
     )
     d = docs.join(own, F.col("doc_id").eqNullSafe(F.col("__mix.doc_id")))
     mine = lambda name: F.col(f"__mix.{name}")
@@ -194,8 +195,9 @@ def mix_passages(docs: DataFrame, **options) -> DataFrame:
     # places, in the document, of the words of chosen blocks: from block to block of its stretch of the line
     first, last = mine("first_word"), mine("first_word") + mine("size")
     d = d.where(mine("rest") > 0).withColumn("__words", F.regexp_extract_all("text", F.lit(f"{_WORD}[\\x20\\x09-\\x0D]*"), F.lit(0)))
-    b0 = F.call_function("div", first, F.lit(block))
-    b1 = F.call_function("div", last - 1, F.lit(block))
+    block = mine("block_words")
+    b0 = F.call_function("div", first, block)
+    b1 = F.call_function("div", last - 1, block)
     runs = F.filter(F.sequence(b0, b1), lambda i: F.pmod(i * mine("rest_blocks") + mine("turn"), mine("blocks")) < mine("rest_blocks"))
     # the words are bound to a variable first: a column that a lambda names once would be made anew for each block
     cut = F.transform(

@@ -76,3 +76,14 @@ def test_iban_before_words_numbers_and_other_ibans(spark):
     found = [[tuple(map(int, x.split(":")[1:])) for x in spans.split(",") if x.startswith("iban")] for spans in got]
     assert found[:30] == [[(5, 5 + len(x))] for x in (gb, de, no) for _ in afters]
     assert [[t[a:b] for a, b in f] for t, f in zip(texts[30:35], found[30:35])] == [[gb, de, no], [], [], [], [no, gb, gb]]
+
+
+def test_passages_are_cut_by_the_block_size_of_the_plan(spark, monkeypatch):
+    from quern.llm import mixing
+
+    plan = mixing.plan
+    monkeypatch.setattr(mixing, "plan", lambda sizes, weights, block_words, most: plan(sizes, weights, 2 * block_words, most))  # as for a very large source
+    docs = documents(spark, [prose(k, 30 + k) for k in range(40)])
+    taken = {r["doc_id"]: r["taken"] for r in mixing.mix_sources(docs, block_words=8).where("taken > 0").collect()}
+    got = mixing.mix_passages(docs, block_words=8).groupBy("doc_id").agg(F.sum(F.size(F.split(F.trim("text"), "\\s+"))).alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in got} == taken
