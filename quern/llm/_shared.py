@@ -6,6 +6,10 @@ separators occurs inside a multi-byte character.
 
 from __future__ import annotations
 
+import atexit
+import ctypes
+import re
+import shutil
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -18,12 +22,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    A temporary folder of this machine is taken only where neither the setting
-    nor ``SparkContext.setCheckpointDir`` names one, as in local tests.
+    Where it is unset, the folder of ``SparkContext.setCheckpointDir``.  With neither, a session of one
+    machine (master ``local``) gets a temporary folder; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="quern-checkpoint-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
@@ -40,6 +47,15 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return freed memory of this Python worker to the system: it is reused by later tasks, whose needs are others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
 # ---------------------------------------------------------------- word scanning
 
 _SPACE = np.zeros(256, bool)

@@ -24,13 +24,14 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     before = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+        # minima are written, so that both sides of a join are plain exchanges and a node with very many links is split
+        low = settle(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")), "least")
         # large star: every larger neighbour, and the node itself, goes to the least
         large = edges.join(low, edges["v"] == low["k"]).select("u", F.col("m").alias("v"))
         large = large.where("u != v").distinct()
         large = settle(large, "large-star")
         # small star: smaller neighbours and the node go to the least of them
-        low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
+        low = settle(large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m"), "least")
         small = large.join(low, large["u"] == low["k"])
         small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         edges = settle(small.where("u != v").distinct(), "small-star")

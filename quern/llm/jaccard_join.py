@@ -1,31 +1,39 @@
 """N-gram Jaccard join (operator 3): exact near-copy components of whole texts.
 
-The document-by-shingle incidence matrix is cut into blocks of the shingle
-axis.  One block of all documents is one task: it sums, for each distinct
-shingle set, how many of its shingles another set has too.  Those sums are
-bounds: a set can only link if threshold of its *own* size is shared with
-others, and only by a shingle among the rarest it has (a prefix whose
-length its size gives).  Pairs are then met within those prefixes, and each that
-is met is decided by the exact overlap.
-
-Equal sets are one node from the start, and pairs within a component that is already
-known are not met again, so a group of thousands of copies costs a link
-for each copy and not for each pair.
+The document-by-shingle incidence matrix A is cut into blocks of the shingle
+axis, and a block of all documents is one task.  It keeps the shingles that
+several distinct sets have.  From them follow size bounds: a set can only link if
+``percent`` of its *own* size is shared with others, and only by a shingle among the
+rarest it has (a prefix whose length its size gives).
+
+Products A x A' are then made in cells.  Sets that meet within those prefixes, and whose sizes
+allow a link, form families; a family is a cell, or a grid of cells if it
+is large.  A cell goes over blocks of its shingles, adds up the overlaps of all its pairs in one matrix,
+and drops rows and columns whose overlaps cannot reach what their sizes ask for any more.  What
+leaves a cell are exact links, at most one fewer than it has sets; pairs never leave it.
+
+Equal sets are one node from the start, and a few rounds in which each set meets only one other
+find most components before: sets of one component are not multiplied, so a group of thousands
+of copies costs a link for each copy and not for each pair.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm._shared import mix, settle, shingle_sets
+from quern.llm._shared import give_back, mix, settle, shingle_sets
 from quern.llm.components import components
 
-#: Shingles of a block, about; what one task holds.
-BLOCK_SHINGLES = 2_000_000
-_LOW = np.uint64(0xFFFFFFFFFFFF)
+#: Shingles of a block or of a part of the sets, about: what one task holds at a time.
+BLOCK_SHINGLES = 1 << 20
+#: Names of sets that a task remembers, so as to send a set's copies once.
+REMEMBERED = 1 << 18
+_LOW48 = 48
 
 
 def _signature(s: np.ndarray) -> int:
@@ -45,65 +53,94 @@ def shingle_table(docs: DataFrame, n: int) -> DataFrame:
                 sizes.append(len(s))
                 nodes.append(_signature(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())], ["doc_id", "n_shingles", "node"])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(measure, "doc_id long, n_shingles long, node long")
 
 
-_BLOCK = "block int, nodes binary, sizes binary, high binary, low binary, who binary"
+def block_bits(shingles: int) -> int:
+    """Blocks are the first so many bits of a shingle's hash, parts those of a set's name; both follow the data's size."""
+    return max(5, (max(0, shingles - 1) // BLOCK_SHINGLES).bit_length())
+
+
+def _rest_bits(bits: int) -> int:
+    """Bits of a hash that are kept besides the block: 48, fewer where the block has more than 16."""
+    return min(_LOW48, 64 - bits)
+
+
+def _split(h: np.ndarray) -> tuple[bytes, bytes]:
+    return (h >> np.uint64(16)).astype(np.uint32).tobytes(), h.astype(np.uint16).tobytes()
+
 
+def _joined(high, low) -> np.ndarray:
+    return np.frombuffer(high, np.uint32).astype(np.uint64) << np.uint64(16) | np.frombuffer(low, np.uint16).astype(np.uint64)
 
-def _incidence(docs: DataFrame, n: int, blocks: int) -> DataFrame:
+
+def _cuts(sorted_keys: np.ndarray):
+    """(key, begin, end) of each run of equal keys."""
+    if len(sorted_keys):
+        first = np.flatnonzero(np.append(True, sorted_keys[1:] != sorted_keys[:-1]))
+        yield from zip(sorted_keys[first].tolist(), first.tolist(), np.append(first[1:], len(sorted_keys)).tolist())
+
+
+_BLOCK = "block long, nodes binary, sizes binary, high binary, low binary, who binary"
+
+
+def _incidence(docs: DataFrame, n: int, bits: int) -> DataFrame:
     """The incidence matrix in pieces: for a slice of documents and a block of
-    shingles, the shingles (48 bits besides the block's number) and whose they are."""
+    shingles, the shingles (without the block's bits) and whose they are."""
 
     def pack(batches):
+        known: set[int] = set()
+        sets, names, held = [], [], 0
         for batch in batches:
-            sets, names = [], []
-            held = 0
             for s in shingle_sets(batch.column("text"), n):
-                if len(s):
-                    sets.append(s)
-                    names.append(_signature(s))
-                    held += len(s)
-                if held >= 1 << 20 or len(sets) >= 65_000:
+                if not len(s):
+                    continue
+                name = _signature(s)
+                if name in known:
+                    continue
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                known.add(name)
+                sets.append(s)
+                names.append(name)
+                held += len(s)
+                if held >= BLOCK_SHINGLES or len(sets) >= 65_000:
                     yield piece(sets, names)
                     sets, names, held = [], [], 0
-            if sets:
-                yield piece(sets, names)
+        if sets:
+            yield piece(sets, names)
+        del sets, names, known
+        give_back()
 
     def piece(sets, names):
         sizes = np.array([len(s) for s in sets], np.uint32)
         names = np.array(names, np.int64)
         flat = mix(np.concatenate(sets))
         who = np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)
-        block = ((flat >> np.uint64(48)) * np.uint64(blocks)) >> np.uint64(16) if blocks <= 1 << 16 else flat % np.uint64(blocks)
-        order = np.argsort(block.astype(np.uint16 if blocks <= 1 << 16 else np.uint32), kind="stable")
-        flat, who, block = flat[order] & _LOW, who[order], block[order]
-        cuts = np.searchsorted(block, np.arange(blocks + 1))
+        block = (flat >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
+        order = np.argsort(block, kind="stable")
+        flat, who, block = flat[order] & np.uint64((1 << _rest_bits(bits)) - 1), who[order], block[order]
         out = {k: [] for k in ("block", "nodes", "sizes", "high", "low", "who")}
-        for b in range(blocks):
-            i, j = cuts[b], cuts[b + 1]
-            if i == j:
-                continue
+        for b, i, j in _cuts(block):
             there, local = np.unique(who[i:j], return_inverse=True)
             out["block"].append(b)
             out["nodes"].append(names[there].tobytes())
             out["sizes"].append(sizes[there].tobytes())
-            out["high"].append((flat[i:j] >> np.uint64(16)).astype(np.uint32).tobytes())
-            out["low"].append(flat[i:j].astype(np.uint16).tobytes())
+            high, low = _split(flat[i:j])
+            out["high"].append(high)
+            out["low"].append(low)
             out["who"].append(local.astype(np.uint16).tobytes())
-        return pa.RecordBatch.from_pydict(out, pa.schema([("block", pa.int32()), *((k, pa.binary()) for k in ("nodes", "sizes", "high", "low", "who"))]))
+        return pa.RecordBatch.from_pydict(out, pa.schema([("block", pa.int64()), *((k, pa.binary()) for k in ("nodes", "sizes", "high", "low", "who"))]))
 
     return docs.select("text").mapInArrow(pack, _BLOCK)
 
 
-_PARTS = 256
-
-
-def _shared(incidence: DataFrame) -> DataFrame:
+def _shared(incidence: DataFrame, bits: int) -> DataFrame:
     """For each block, the entries whose shingle at least two nodes have, by part of the nodes."""
 
-    def product(key, table):
+    def common(key, table):
         block = key[0].as_py()
         nodes, sizes, owners, hashes, seen = [], [], [], [], 0
         for row in table.select(["nodes", "sizes", "high", "low", "who"]).to_batches():
@@ -112,7 +149,7 @@ def _shared(incidence: DataFrame) -> DataFrame:
                 sizes.append(np.frombuffer(lens.as_buffer(), np.uint32))
                 owners.append(np.frombuffer(who.as_buffer(), np.uint16) + np.uint32(seen))
                 seen += len(nodes[-1])
-                hashes.append(np.frombuffer(high.as_buffer(), np.uint32).astype(np.uint64) << np.uint64(16) | np.frombuffer(low.as_buffer(), np.uint16).astype(np.uint64))
+                hashes.append(_joined(high.as_buffer(), low.as_buffer()))
         h = np.concatenate(hashes)
         del hashes
         order = np.argsort(h)  # entries of one shingle together; most shingles go at once
@@ -122,7 +159,7 @@ def _shared(incidence: DataFrame) -> DataFrame:
         some = again[1:] | again[:-1]
         owner = np.concatenate(owners)[order[some]]
         h, node, size = h[some], np.concatenate(nodes)[owner], np.concatenate(sizes)[owner]
-        del owners, nodes, sizes, owner
+        del owners, nodes, sizes, owner, order, again, some
         order = np.lexsort((node, h))
         h, node, size = h[order], node[order], size[order]
         first = np.ones(len(h), bool)  # copies of a set count once
@@ -133,42 +170,33 @@ def _shared(incidence: DataFrame) -> DataFrame:
         df = np.repeat(df, df)
         keep = df > 1
         h, node, size, df = h[keep], node[keep], size[keep], df[keep].astype(np.uint32)
-        part = (node % _PARTS).astype(np.uint16)
-        order = np.lexsort((node, part))
-        h, node, size, df, part = h[order], node[order], size[order], df[order], part[order]
-        cuts = np.searchsorted(part, np.arange(_PARTS + 1))
+        order = np.argsort(node, kind="stable")
+        h, node, size, df = h[order], node[order], size[order], df[order]
         out = {k: [] for k in ("part", "block", "nodes", "sizes", "counts", "high", "low", "df")}
-        for p in range(_PARTS):
-            i, j = cuts[p], cuts[p + 1]
-            if i == j:
-                continue
+        for p, i, j in _cuts(node >> np.int64(63 - bits)):
             names, at, counts = np.unique(node[i:j], return_index=True, return_counts=True)
             out["part"].append(p)
             out["block"].append(block)
             out["nodes"].append(names.tobytes())
             out["sizes"].append(size[i:j][at].tobytes())
             out["counts"].append(counts.astype(np.uint32).tobytes())
-            out["high"].append((h[i:j] >> np.uint64(16)).astype(np.uint32).tobytes())
-            out["low"].append(h[i:j].astype(np.uint16).tobytes())
+            high, low = _split(h[i:j])
+            out["high"].append(high)
+            out["low"].append(low)
             out["df"].append(df[i:j].tobytes())
-        return pa.Table.from_pydict(out, pa.schema([("part", pa.int32()), ("block", pa.int32()), *((k, pa.binary()) for k in ("nodes", "sizes", "counts", "high", "low", "df"))]))
+        give_back()
+        return pa.Table.from_pydict(out, pa.schema([("part", pa.int64()), ("block", pa.int64()), *((k, pa.binary()) for k in ("nodes", "sizes", "counts", "high", "low", "df"))]))
 
-    return incidence.groupBy("block").applyInArrow(product, "part int, block int, nodes binary, sizes binary, counts binary, high binary, low binary, df binary")
+    return incidence.groupBy("block").applyInArrow(common, "part long, block long, nodes binary, sizes binary, counts binary, high binary, low binary, df binary")
 
 
-#: Places of a set's parity bits.
-PARITIES = 1024
+def _candidates(shared: DataFrame, bits: int, percent: int) -> DataFrame:
+    """(node, size, shared, shingles, prefix): nodes of which enough is shared to link at all.
 
-
-def _candidates(shared: DataFrame, percent: int) -> DataFrame:
-    """(node, size, shared, shingles, bits, prefix, left): nodes of which enough is shared to link at all.
-
-    ``shingles`` are the shared ones, packed and ascending; ``prefix`` the keys of those
-    by which a link must show: the rarest, after those that nobody shares.  ``left`` counts,
-    for each of the prefix, the shared shingles from it on: two sets whose first common shingle
-    it is have at most as many in common.  ``shared`` counts the shared shingles, and ``bits`` has
-    the parity of how many fall to each of PARITIES places: two sets differ in at least as many shingles as places.
+    ``shingles`` are the shared ones, packed and ascending; ``shared`` counts them; ``prefix`` has the keys of those
+    by which a link must show: the rarest, after those that nobody shares.
     """
+    shift = np.uint64(_rest_bits(bits))
 
     def gather(key, table):
         names, sizes, keys, dfs = [], [], [], []
@@ -176,32 +204,27 @@ def _candidates(shared: DataFrame, percent: int) -> DataFrame:
             counts = np.frombuffer(row["counts"], np.uint32)
             names.append(np.repeat(np.frombuffer(row["nodes"], np.int64), counts))
             sizes.append(np.repeat(np.frombuffer(row["sizes"], np.uint32), counts))
-            h = np.frombuffer(row["high"], np.uint32).astype(np.uint64) << np.uint64(16) | np.frombuffer(row["low"], np.uint16).astype(np.uint64)
-            keys.append(h | np.uint64(row["block"] & 0x7FFF) << np.uint64(48))
+            keys.append(_joined(row["high"], row["low"]) | np.uint64(row["block"]) << shift)
             dfs.append(np.frombuffer(row["df"], np.uint32))
         node, size, h, df = map(np.concatenate, (names, sizes, keys, dfs))
+        del names, sizes, keys, dfs
         order = np.lexsort((h, df, node))
-        node, size, h, df = node[order], size[order], h[order], df[order]
-        starts = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
-        ends = np.append(starts[1:], len(node))
-        places = (mix(h) % np.uint64(PARITIES)).astype(np.int64)
-        out = {"node": [], "size": [], "shared": [], "shingles": [], "bits": [], "prefix": [], "left": []}
-        for i, j in zip(starts.tolist(), ends.tolist()):
+        node, size, h = node[order], size[order], h[order]
+        out = {"node": [], "size": [], "shared": [], "shingles": [], "prefix": []}
+        for name, i, j in _cuts(node):
             n = int(size[i])
             need = -(-percent * n // 100)
             if j - i < need:  # too much of it is its own
                 continue
-            out["node"].append(int(node[i]))
+            out["node"].append(name)
             out["size"].append(n)
             out["shared"].append(j - i)
             out["shingles"].append(np.sort(h[i:j]).tobytes())
-            odd = (np.bincount(places[i:j], minlength=PARITIES) & 1).astype(np.uint8)
-            out["bits"].append(np.packbits(odd).view(np.int64).tolist())
             out["prefix"].append(h[i : i + j - i - need + 1].astype(np.int64).tolist())
-            out["left"].append(list(range(j - i, need - 1, -1)))
-        return pa.Table.from_pydict(out, pa.schema([("node", pa.int64()), ("size", pa.int64()), ("shared", pa.int64()), ("shingles", pa.binary()), *((k, pa.list_(pa.int64())) for k in ("bits", "prefix", "left"))]))
+        give_back()
+        return pa.Table.from_pydict(out, pa.schema([("node", pa.int64()), ("size", pa.int64()), ("shared", pa.int64()), ("shingles", pa.binary()), ("prefix", pa.list_(pa.int64()))]))
 
-    return shared.groupBy("part").applyInArrow(gather, "node long, size long, shared long, shingles binary, bits array<long>, prefix array<long>, left array<long>")
+    return shared.groupBy("part").applyInArrow(gather, "node long, size long, shared long, shingles binary, prefix array<long>")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -226,6 +249,178 @@ def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(decide, "a long, b long")
 
 
+# ------------------------------------------------------- products of cells
+
+#: What a side of a cell holds: shingles, and so many for each set beside its own.
+CELL_LOAD, SET_LOAD = 1 << 19, 256
+#: Columns of a dense block of a product.
+_COLUMNS = 1024
+
+
+class Cell:
+    """Some sets of a family: which stand in the rows, which in the columns of the product."""
+
+    def __init__(self, nodes, roots, top, sizes, sets, in_rows, in_columns, percent: int):
+        self.nodes, self.percent = nodes, percent
+        self.x, self.y = np.flatnonzero(in_rows), np.flatnonzero(in_columns)
+        self.total = sizes[self.x][:, None] + sizes[self.y][None, :]
+        smaller, larger = np.minimum(sizes[self.x][:, None], sizes[self.y][None, :]), np.maximum(sizes[self.x][:, None], sizes[self.y][None, :])
+        rx, ry = roots[self.x][:, None], roots[self.y][None, :]
+        # a pair of two small components is met from its lesser root only
+        self.live = (100 * smaller >= percent * larger) & (rx != ry) & ((ry == top) | (rx < ry))
+        self.counts = np.zeros(self.live.shape, np.float32)
+        self.left = np.array([len(s) for s in sets], np.int64)
+        flat = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets)), self.left)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+        size = np.diff(np.append(first, len(flat)))
+        column = np.repeat(np.argsort(np.argsort(size, kind="stable"), kind="stable"), size)  # rare shingles first
+        order = np.argsort(column, kind="stable")
+        self.column, self.owner, self.size = column[order], owner[order], np.sort(size)
+
+    def links(self) -> np.ndarray:
+        """Which pairs link, after the overlaps of all columns are added up."""
+        x_of, y_of = np.full(len(self.nodes), -1), np.full(len(self.nodes), -1)
+        x_of[self.x], y_of[self.y] = np.arange(len(self.x)), np.arange(len(self.y))
+        rows, columns = self.live.shape
+        first = np.concatenate([[0], np.cumsum(self.size)])
+        # the few sets of a rare shingle are paired at once; frequent shingles go through dense blocks
+        alone = int(np.searchsorted(self.size, 2))
+        dense = max(alone, int(np.searchsorted(self.size, math.sqrt(rows * columns) / 10)))
+        self._sparse(first, alone, dense, x_of, y_of)
+        self.left -= np.bincount(self.owner[: first[dense]], minlength=len(self.nodes))
+        at = dense
+        while at < len(self.size):
+            if not self._discard():
+                return self.live
+            end = min(at + _COLUMNS, len(self.size))
+            column, owner = self.column[first[at] : first[end]] - at, self.owner[first[at] : first[end]]
+            both = np.zeros((len(self.nodes), end - at), np.float32)
+            both[owner, column] = 1
+            r, c = np.flatnonzero(self.live.any(axis=1)), np.flatnonzero(self.live.any(axis=0))
+            self.counts[np.ix_(r, c)] += both[self.x[r]] @ both[self.y[c]].T
+            self.left -= np.bincount(owner, minlength=len(self.nodes))
+            at = end
+        self._discard()
+        return self.live
+
+    def _discard(self) -> bool:
+        """Drop the pairs that cannot reach their bound with what is left of their shingles."""
+        room = self.counts + np.minimum(self.left[self.x][:, None], self.left[self.y][None, :])
+        self.live &= (100 + self.percent) * room.astype(np.int64) >= self.percent * self.total
+        return bool(self.live.any())
+
+    def _sparse(self, first, begin, end, x_of, y_of):
+        at = begin
+        shape = self.counts.shape
+        while at < end:
+            pairs = np.cumsum(self.size[at:end].astype(np.int64) ** 2)
+            stop = at + max(1, int(np.searchsorted(pairs, 1 << 21)))
+            size = self.size[at:stop]
+            each = np.repeat(size, size)  # partners of each entry, itself included
+            entry = np.arange(first[at], first[stop])
+            begins = np.repeat(first[at:stop], size)
+            a = np.repeat(entry, each)
+            b = np.arange(len(a)) - np.repeat(np.cumsum(each) - each, each) + np.repeat(begins, each)
+            i, j = x_of[self.owner[a]], y_of[self.owner[b]]
+            met = (i >= 0) & (j >= 0)
+            flat, times = np.unique(i[met] * shape[1] + j[met], return_counts=True)
+            self.counts.reshape(-1)[flat] += times
+            at = stop
+
+    def forest(self):
+        """Links (a, b) that connect whatever the links connect, fewer than the sets."""
+        links = self.links()
+        rows, columns = np.nonzero(links)
+        if len(rows) <= len(self.nodes):
+            yield from zip(self.nodes[self.x[rows]].tolist(), self.nodes[self.y[columns]].tolist())
+            return
+        seen_x, seen_y = np.zeros(len(self.x), bool), np.zeros(len(self.y), bool)
+        x_of = {int(k): i for i, k in enumerate(self.x)}
+        for start in np.unique(rows).tolist():
+            if seen_x[start]:
+                continue
+            seen_x[start] = True
+            waiting = [start]
+            while waiting:
+                i = waiting.pop()
+                new = np.flatnonzero(links[i] & ~seen_y)
+                seen_y[new] = True
+                for j in new.tolist():
+                    yield int(self.nodes[self.x[i]]), int(self.nodes[self.y[j]])
+                    same = x_of.get(int(self.y[j]))
+                    if same is not None and not seen_x[same]:
+                        seen_x[same] = True
+                        waiting.append(same)
+                    for k in np.flatnonzero(links[:, j] & ~seen_x).tolist():
+                        seen_x[k] = True
+                        yield int(self.nodes[self.x[k]]), int(self.nodes[self.y[j]])
+                        waiting.append(k)
+
+
+def _families(met: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
+    """(family, class, node, root, load): sets of different components that meet in a prefix, by classes of size.
+
+    A family is named by the least set of a shingle's list, so all its sets have a shingle in common with that one, and
+    there are at most as many rows as prefixes have entries.  Sizes of a link are of one class or of two that follow each other;
+    each set is in its own class and the next.
+    """
+    here = _labelled(met, labels)
+    mixed = here.groupBy("h").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("h")
+    step = math.log(100 / percent * 1.01)  # a little more than the largest ratio of a link
+    size_class = F.floor(F.log("size") / step).cast("int")
+    here = settle(here.join(mixed, "h").select("h", "node", "root", (F.col("shared") + SET_LOAD).alias("load"), F.explode(F.array(size_class, size_class + 1)).alias("class")), "met")
+    lists = here.groupBy("h", "class").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.min("node").alias("family")).where("r1 != r2").select("h", "class", "family")
+    return settle(here.join(settle(lists, "lists"), ["h", "class"]).select("family", "class", "node", "root", "load").distinct(), "families")
+
+
+def _product_links(families: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Exact links (a, b) of the families' cells."""
+    # a pair of two components has a side that is not of the family's largest: that side is the rows
+    each = families.groupBy("family", "class", "root").agg(F.sum("load").alias("load"))
+    grid = each.groupBy("family", "class").agg(F.sum("load").alias("load"), F.max(F.struct("load", "root")).alias("top"))
+    cells = lambda load: F.ceil(load / CELL_LOAD).cast("int")
+    grid = grid.select("family", "class", F.col("top.root").alias("top"), cells(F.col("load") - F.col("top.load")).alias("tall"), cells(F.col("load")).alias("wide"), "load", (F.col("load") - F.col("top.load")).alias("rows_load"))
+    grid = settle(grid, "grid")
+    work = grid.agg(F.sum(F.col("rows_load") * F.col("wide") + F.col("load") * F.col("tall"))).first()[0] or 0
+    tasks = max(1, -(-work // (2 * CELL_LOAD)))
+    placed = families.join(grid.drop("load", "rows_load"), ["family", "class"])
+    placed = placed.withColumn("row", F.when(F.col("root") != F.col("top"), F.pmod(F.xxhash64("node", F.lit(0)), "tall")).cast("int"))
+    placed = placed.withColumn("column", F.pmod(F.xxhash64("node", F.lit(1)), "wide").cast("int"))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    across = F.transform(every("wide"), lambda j: F.struct(F.col("row").alias("i"), j.alias("j"), F.lit(True).alias("in_rows"), (j == F.col("column")).alias("in_columns")))
+    down = F.transform(every("tall"), lambda i: F.struct(i.alias("i"), F.col("column").alias("j"), F.lit(False).alias("in_rows"), F.lit(True).alias("in_columns")))
+    both = F.when(F.col("row").isNull(), down).otherwise(F.concat(across, F.filter(down, lambda c: c["i"] != F.col("row"))))
+    placed = placed.select("family", "class", "top", "node", "root", F.inline(both))
+    placed = placed.withColumn("task", F.pmod(F.xxhash64("family", "class", "i", "j"), F.lit(tasks)))
+    sent = placed.join(nodes.select("node", "size", "shingles"), "node")
+
+    def multiply(key, table):
+        a, b = [], []
+        table = table.sort_by([(k, "ascending") for k in ("family", "class", "i", "j")])
+        get = {k: table.column(k).to_numpy() for k in ("family", "class", "i", "j", "top", "node", "root", "size")}
+        flags = [table.column(k).to_numpy(zero_copy_only=False) for k in ("in_rows", "in_columns")]
+        sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in table.column("shingles")]
+        change = np.zeros(len(table), bool)
+        for k in ("family", "class", "i", "j"):
+            change[1:] |= get[k][1:] != get[k][:-1]
+        for _, s, e in _cuts(np.cumsum(change)):
+            if flags[0][s:e].any() and flags[1][s:e].any():
+                cell = Cell(get["node"][s:e], get["root"][s:e], get["top"][s], get["size"][s:e], sets[s:e], flags[0][s:e], flags[1][s:e], percent)
+                for x, y in cell.forest():
+                    a.append(x)
+                    b.append(y)
+        give_back()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    columns = ("task", "family", "class", "i", "j", "top", "node", "root", "size", "in_rows", "in_columns", "shingles")
+    return sent.select(*columns).groupBy("task").applyInArrow(multiply, "a long, b long")
+
+
+# ------------------------------------------------------------ the operator
+
 #: Rounds in which each node meets one partner of another component.
 HUB_ROUNDS = 3
 
@@ -245,15 +440,15 @@ def ngram_jaccard_join(docs: DataFrame, *, n: int = 5, percent: int = 80) -> Dat
     table = settle(shingle_table(docs, n), "shingle-sets")
     reached = _components_of_sets(docs, table, n, percent)
     mapped = table.join(reached, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("root"))
-    least = mapped.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
+    # written: as a table of its own it is joined by two exchanges, and a hot root is split by the skew join
+    least = settle(mapped.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")), "least")
     return mapped.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def _components_of_sets(docs: DataFrame, table: DataFrame, n: int, percent: int) -> DataFrame:
-    total = table.agg(F.sum("n_shingles")).first()[0] or 0
-    blocks = min(1 << 15, max(32, -(-total // BLOCK_SHINGLES)))
-    nodes = settle(_candidates(_shared(_incidence(docs, n, blocks)), percent), "candidate-sets")
-    met = settle(nodes.select("node", "size", F.inline(F.arrays_zip(F.col("prefix").alias("h"), F.col("left").alias("left")))), "prefixes")
+    bits = block_bits(table.agg(F.sum("n_shingles")).first()[0] or 0)
+    nodes = settle(_candidates(_shared(_incidence(docs, n, bits), bits), bits, percent), "candidate-sets")
+    met = settle(nodes.select("node", "size", "shared", F.explode("prefix").alias("h")), "prefixes")
     spark = docs.sparkSession
     found = spark.createDataFrame([], "a long, b long")
     labels = None
@@ -277,26 +472,15 @@ def _components_of_sets(docs: DataFrame, table: DataFrame, n: int, percent: int)
         found = found.union(new)
         labels = settle(components(found), "labels")
     # whatever pair of different components is left
-    here = _labelled(met, labels)
-    mixed = here.groupBy("h").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("h")
-    bits = [f"bits{k}" for k in range(PARITIES // 64)]
-    parities = nodes.select("node", "shared", *(F.get("bits", F.lit(k)).alias(c) for k, c in enumerate(bits)))
-    here = settle(here.join(mixed, "h").join(parities, "node").select("h", "node", "size", "left", "root", "shared", *bits), "mixed")
-    x, y = (here.toDF("h", side, *(f"{c}_{side}" for c in here.columns[2:])) for side in ("a", "b"))
-    # the first shingle in common leaves room for the overlap that a link needs
-    room = F.expr(f"{100 + percent} * least(left_a, left_b) >= {percent} * (size_a + size_b)")
-    # and so do the shingles that the parities tell apart
-    apart = " + ".join(f"bit_count({c}_a ^ {c}_b)" for c in bits)
-    alike = F.expr(f"{100 + percent} * (shared_a + shared_b - ({apart})) >= {2 * percent} * (size_a + size_b)")
-    pairs = x.join(y, (x["h"] == y["h"]) & (x["root_a"] < y["root_b"]) & room & alike).where(_sizes("size_a", "size_b", percent)).select("a", "b").distinct()
-    found = found.union(settle(_verified(settle(pairs, "pairs"), nodes, percent), "links"))
+    families = _families(met, labels, percent)
+    found = found.union(settle(_product_links(families, nodes, percent), "links"))
     return settle(components(found), "components")
 
 
 def _labelled(met: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
-        return met.select("h", "node", "size", "left", F.col("node").alias("root"))
-    return met.join(labels, "node", "left").select("h", "node", "size", "left", F.coalesce("root", "node").alias("root"))
+        return met.select("h", "node", "size", "shared", F.col("node").alias("root"))
+    return met.join(labels, "node", "left").select("h", "node", "size", "shared", F.coalesce("root", "node").alias("root"))
 
 
 def _sizes(a: str, b: str, percent: int):
