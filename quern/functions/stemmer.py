@@ -2,7 +2,8 @@
 
 A ``y`` that acts as a consonant is written ``Y`` first; then every condition of the algorithm is a
 regular expression without backtracking references, so the same steps run in Spark SQL and in other engines.
-Each step is its own projection: a step reads the word that the last one left several times.
+A step reads the word that the last one left several times, so it binds it once: a one-element array goes
+through all steps. The expression grows with the number of steps only, and a filter on stems may be pushed through it.
 """
 
 from __future__ import annotations
@@ -62,11 +63,10 @@ def steps(dialect: str = "spark") -> list[str]:
 
 def stems(words: DataFrame, word: str = "surface", out: str = "term") -> DataFrame:
     """``words`` with the stem of each lower-case word; words of up to two characters stay."""
-    kept = words.columns
-    df = words.withColumn("w", F.col(word))
+    made = f"array({word})"
     for step in steps():
-        df = df.select(*kept, F.expr(f"CASE WHEN length({word}) <= 2 THEN w ELSE {step} END").alias("w"))
-    return df.withColumnRenamed("w", out)
+        made = f"transform({made}, w -> {step})"
+    return words.withColumn(out, F.expr(f"CASE WHEN length({word}) <= 2 THEN {word} ELSE element_at({made}, 1) END"))
 
 
 def stem_sql(source: str, word: str = "surface", dialect: str = "duckdb") -> str:

@@ -74,11 +74,26 @@ def decode(data: bytes) -> list[tuple[int, int, list[int]]]:
     return out
 
 
+#: Documents of a block: what of a term's postings is ordered together.
+BLOCK_DOCS = 1 << 14
+
+
+def _blocked(numbered: DataFrame) -> DataFrame:
+    """Postings with ``block``, and ``before``: the term's last document of the blocks before, 0 at first.
+
+    A term's postings are never in one task: what is ordered by term is a row for each block.
+    """
+    rows = numbered.withColumn("block", F.call_function("div", F.col("doc_id"), F.lit(BLOCK_DOCS)))
+    last = rows.groupBy("term", "block").agg(F.max("doc_id").alias("last"))
+    before = last.select("term", "block", F.lag("last", 1, 0).over(Window.partitionBy("term").orderBy("block")).alias("before"))
+    return rows.join(before, ["term", "block"])
+
+
 def gaps(numbered: DataFrame) -> DataFrame:
     """Postings (term, doc_id, tf, positions) with doc_gap and pos_gaps."""
-    before = F.lag("doc_id", 1, 0).over(Window.partitionBy("term").orderBy("doc_id"))
+    previous = F.coalesce(F.lag("doc_id").over(Window.partitionBy("term", "block").orderBy("doc_id")), "before")
     pos = F.transform("positions", lambda p, i: p - F.when(i > 0, F.get("positions", i - 1)).otherwise(0))
-    return numbered.select("term", "doc_id", "tf", "positions", (F.col("doc_id") - before).alias("doc_gap"), pos.alias("pos_gaps"))
+    return _blocked(numbered).select("term", "doc_id", "tf", "positions", (F.col("doc_id") - previous).alias("doc_gap"), pos.alias("pos_gaps"))
 
 
 def compressed_size(gapped: DataFrame) -> DataFrame:
@@ -89,18 +104,22 @@ def compressed_size(gapped: DataFrame) -> DataFrame:
 
 
 def roundtrip(numbered: DataFrame) -> DataFrame:
-    """(term, bytes, same): encode and decode the postings of each term."""
+    """(term, bytes, same): encode and decode the postings of each term, a block of documents at a time.
 
-    lists = numbered.groupBy("term").agg(F.array_sort(F.collect_list(F.struct("doc_id", "tf", "positions"))).alias("rows"))
+    Bodies of blocks, one after the other, are the term's encoding without its count.
+    """
+    blocks = _blocked(numbered).groupBy("term", "block", "before").agg(F.array_sort(F.collect_list(F.struct("doc_id", "tf", "positions"))).alias("rows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, same = [], []
-            for rows in batch.column("rows").to_pylist():
-                posting = [(r["doc_id"], r["tf"], r["positions"]) for r in rows]
+            sizes, same, counts = [], [], []
+            for rows, before in zip(batch.column("rows").to_pylist(), batch.column("before").to_pylist()):
+                posting = [(r["doc_id"] - before, r["tf"], r["positions"]) for r in rows]
                 data = encode(posting)
-                sizes.append(len(data))
+                sizes.append(len(data) - len(encode_varint(len(posting))))
                 same.append(decode(data) == posting)
-            yield pa.RecordBatch.from_arrays([batch.column("term"), pa.array(sizes, pa.int64()), pa.array(same, pa.bool_())], ["term", "bytes", "same"])
+                counts.append(len(posting))
+            yield pa.RecordBatch.from_arrays([batch.column("term"), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array(same, pa.bool_())], ["term", "size", "n", "same"])
 
-    return lists.mapInArrow(run, "term string, bytes long, same boolean")
+    each = blocks.mapInArrow(run, "term string, size long, n long, same boolean").groupBy("term")
+    return each.agg((F.sum("size") + varint_size(F.sum("n"))).alias("bytes"), F.every("same").alias("same"))

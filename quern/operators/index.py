@@ -17,9 +17,33 @@ def live(ops: DataFrame) -> DataFrame:
     return ops.withColumn("_n", F.row_number().over(last)).where("_n = 1 AND op = 'upsert'").drop("_n")
 
 
+#: Dead share of all slots above which an index is compacted.
+COMPACT_ABOVE = 0.3
+#: Ranges of ``seq`` that are numbered apart.
+RANGES = 256
+
+
 def compacted(docs: DataFrame) -> DataFrame:
-    """Live documents with dense new ids, in the order of the old ones."""
-    return docs.withColumn("doc_id", (F.row_number().over(Window.orderBy("seq")) - 1).cast("long"))
+    """Live documents with dense new ids, in the order of the old ones (``seq``, then ``file_id``).
+
+    Rows are numbered within ranges of ``seq`` and moved up by the rows of the ranges before.
+    """
+    cuts = docs.agg(F.percentile_approx("seq", [k / RANGES for k in range(1, RANGES)], 10_000).alias("_cuts"))
+    ranged = docs.join(F.broadcast(cuts)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("seq")))).drop("_cuts")  # one row
+    sums = ranged.groupBy("_range").agg(F.count("*").alias("_n"))  # RANGES rows at most
+    sums = sums.select(F.col("_range").alias("_r"), (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy("seq", "file_id"))
+    numbered = ranged.withColumn("_inside", inside).join(F.broadcast(sums), F.col("_range") == F.col("_r"))
+    return numbered.withColumn("doc_id", (F.col("_before") + F.col("_inside") - 1).cast("long")).drop("_range", "_r", "_before", "_inside")
+
+
+def compaction(ops: DataFrame) -> DataFrame:
+    """One row: total, dead, compact.  Every upsert takes a slot; it is dead once a later operation replaces it."""
+    slots = ops.where("op = 'upsert'").agg(F.count("*").alias("total"))
+    kept = live(ops).agg(F.count("*").alias("kept"))
+    both = slots.join(F.broadcast(kept))  # one row each
+    dead = F.col("total") - F.col("kept")
+    return both.select("total", dead.alias("dead"), (dead > COMPACT_ABOVE * F.col("total")).alias("compact"))
 
 
 def postings(terms: DataFrame) -> DataFrame:

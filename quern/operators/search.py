@@ -33,8 +33,10 @@ def condition(node: Node, terms: list[str]) -> Column:
         return F.coalesce(F.try_element_at("fields", F.lit(node.field)) == node.value, F.lit(False))
     if node.kind == "phrase":
         (first, start), *rest = node.children
-        at = lambda t: F.col(f"at_{terms.index(t)}")
-        return F.coalesce(F.exists(at(first), lambda p: reduce(operator.and_, (F.array_contains(at(t), p - start + o) for t, o in rest), p >= start)), F.lit(False))
+        at = lambda t, o: F.transform(f"at_{terms.index(t)}", lambda p: p - o)
+        # where the phrase would begin, by each of its terms: one intersection after the other
+        begins = reduce(F.array_intersect, (at(t, o) for t, o in rest), at(first, start))
+        return F.coalesce(F.exists(begins, lambda p: p >= 0), F.lit(False))
     if node.kind == "not":
         return ~condition(node.children[0], terms)
     return reduce(operator.and_ if node.kind == "and" else operator.or_, (condition(c, terms) for c in node.children))
@@ -43,10 +45,22 @@ def condition(node: Node, terms: list[str]) -> Column:
 def matches(index: Index, node: Node, lengths: DataFrame | None = None) -> DataFrame:
     """One row for each document that has a term of the query: flags, positions, fields."""
     terms = list(dict.fromkeys(all_terms(node)))
-    found = postings(index.terms.where(F.col("term").isin(terms)))
+    return _found(index, node).groupBy("file_id").agg(*_flags(node, terms))
+
+
+def _found(index: Index, node: Node) -> DataFrame:
+    """Postings of the query's terms; positions only where a phrase needs them."""
+    terms = index.terms.where(F.col("term").isin(list(dict.fromkeys(all_terms(node)))))
+    if any(n.kind == "phrase" for n in _walk(node)):
+        return postings(terms)
+    return terms.groupBy("term", "file_id").agg(F.count("*").cast("int").alias("tf"))
+
+
+def _flags(node: Node, terms: list[str]) -> list[Column]:
     aggs = [F.max(F.col("term") == t).alias(f"has_{k}") for k, t in enumerate(terms)]
-    aggs += [F.max(F.when(F.col("term") == t, F.col("positions"))).alias(f"at_{k}") for k, t in enumerate(terms)]
-    return found.groupBy("file_id").agg(*aggs)
+    if any(n.kind == "phrase" for n in _walk(node)):
+        aggs += [F.max(F.when(F.col("term") == t, F.col("positions"))).alias(f"at_{k}") for k, t in enumerate(terms)]
+    return aggs
 
 
 def select(index: Index, query: str, implicit: str = "OR") -> DataFrame:
@@ -66,9 +80,9 @@ def select(index: Index, query: str, implicit: str = "OR") -> DataFrame:
 def search(index: Index, query: str, top_k: int = 10, *, implicit: str = "OR", shards: DataFrame | None = None, stats: str = "global", exclude_shards: tuple = ()) -> DataFrame:
     """The best documents: file_id, score (rounded to 6 places), by score, then file_id.
 
-    ``shards`` (file_id, shard) splits the corpus; ``stats`` = "local" then scores each
-    shard with its own statistics, "global" with those of all shards, as one index would.
-    Documents of ``exclude_shards`` do not answer.
+    ``shards`` (file_id, shard) splits the corpus; each shard gives its ``top_k`` and these are merged. ``stats`` =
+    "local" scores a shard with its own statistics, "global" with those of all shards, as one index would.
+    Documents of ``exclude_shards`` do not answer; without their statistics nothing is global, so scoring is local then.
     """
     node = parse(query, implicit)
     empty = index.docs.select("file_id", F.lit(0.0).alias("score")).limit(0)
@@ -78,30 +92,31 @@ def search(index: Index, query: str, top_k: int = 10, *, implicit: str = "OR", s
     if not wanted:
         if not has_positive_filter(node):
             return empty
-        return select(index, query, implicit).orderBy("file_id").limit(top_k).select("file_id", F.lit(0.0).alias("score"))
+        rows = select(index, query, implicit)
+        if shards is not None and exclude_shards:
+            rows = rows.join(shards.where(~F.col("shard").isin(*exclude_shards)), "file_id", "left_semi")
+        return rows.orderBy("file_id").limit(top_k).select("file_id", F.lit(0.0).alias("score"))
     lengths = index.doc_lengths
     lengths = lengths.join(shards, "file_id") if shards is not None else lengths.withColumn("shard", F.lit(0))
-    if stats == "global":
-        lengths = lengths.withColumn("group", F.lit(0))
-    else:
-        lengths = lengths.withColumn("group", F.col("shard"))
-    found = postings(index.terms.where(F.col("term").isin(list(dict.fromkeys(all_terms(node))))))
-    found = found.join(lengths, "file_id")
+    if exclude_shards:
+        lengths, stats = lengths.where(~F.col("shard").isin(*exclude_shards)), "local"
+    lengths = lengths.withColumn("group", F.lit(0) if stats == "global" else F.col("shard"))
+    found = _found(index, node).join(lengths, "file_id")
+    # a row for each shard, and one for each shard and term of the query: as many as shards and terms of one query
     corpus = lengths.groupBy("group").agg(F.count("*").alias("n_docs"), F.avg("length").alias("avgdl"))
     seen = found.groupBy("group", "term").agg(F.count("*").alias("n"))
-    scored = found.join(seen, ["group", "term"]).join(corpus, "group")
+    scored = found.join(F.broadcast(seen), ["group", "term"]).join(F.broadcast(corpus), "group")
     positive = F.col("term").isin(wanted)
     part = F.when(positive, bm25(F.col("tf"), F.col("length"), F.col("avgdl"), idf(F.col("n_docs"), F.col("n"))))
     terms = list(dict.fromkeys(all_terms(node)))
-    aggs = [F.max(F.col("term") == t).alias(f"has_{k}") for k, t in enumerate(terms)]
-    aggs += [F.max(F.when(F.col("term") == t, F.col("positions"))).alias(f"at_{k}") for k, t in enumerate(terms)]
-    rows = scored.groupBy("file_id", "shard").agg(F.round(F.sum(part), 6).alias("score"), F.count(F.when(positive, 1)).alias("positive"), *aggs)
+    rows = scored.groupBy("file_id", "shard").agg(F.round(F.sum(part), 6).alias("score"), F.count(F.when(positive, 1)).alias("positive"), *_flags(node, terms))
     rows = rows.where("positive > 0")
-    if exclude_shards:
-        rows = rows.where(~F.col("shard").isin(*exclude_shards))
     if any(c.kind == "field" for c in _walk(node)):
         rows = rows.join(index.docs.select("file_id", "fields"), "file_id")
-    return rows.where(condition(node, terms)).select("file_id", "score").orderBy(F.desc("score"), "file_id").limit(top_k)
+    rows = rows.where(condition(node, terms)).select("file_id", "shard", "score")
+    if shards is not None:
+        rows = shard_top_k(rows, top_k)
+    return rows.select("file_id", "score").orderBy(F.desc("score"), "file_id").limit(top_k)
 
 
 def _walk(node: Node):
@@ -129,6 +144,7 @@ def merge_hits(hits: DataFrame, top_k: int) -> DataFrame:
 
 
 def shard_top_k(hits: DataFrame, top_k: int) -> DataFrame:
+    """The best ``top_k`` hits (file_id, shard, score) of each shard, with their rank there."""
     rank = F.row_number().over(Window.partitionBy("shard").orderBy(F.desc("score"), "file_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= top_k)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,19 +12,28 @@ from quern.operators.index import Index
 
 
 def save(index: Index, path: str) -> str:
-    """Write a snapshot; it becomes current when its pointer row is committed."""
+    """Write a snapshot; it becomes current when its pointer row is committed.
+
+    Pointers are numbered, so no clock decides which is current. There is one writer at a time.
+    """
     version = uuid.uuid4().hex
     index.docs.write.parquet(f"{path}/{version}/docs")
     # sorted by term, so a query's terms select few row groups
     index.terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/{version}/terms")
     index.doc_lengths.write.parquet(f"{path}/{version}/lengths")
     spark = index.docs.sparkSession
-    spark.createDataFrame([(version,)], "version string").withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{path}/current")
+    try:
+        number = spark.read.parquet(f"{path}/current").agg(F.max("number")).first()[0] + 1
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        number = 0
+    spark.createDataFrame([(number, version)], "number long, version string").coalesce(1).write.mode("append").parquet(f"{path}/current")
     return version
 
 
 def load(spark: SparkSession, path: str) -> Index:
-    version = spark.read.parquet(f"{path}/current").orderBy(F.desc("at")).first()["version"]
+    version = spark.read.parquet(f"{path}/current").orderBy(F.desc("number")).first()["version"]
     read = lambda name: spark.read.parquet(f"{path}/{version}/{name}")
     return Index(read("docs"), read("terms"), read("lengths"))
 

@@ -1,5 +1,8 @@
 """The search language, the analyzer and ranking, on small corpora with known results."""
 
+import math
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,20 +12,38 @@ from quern.operators import search
 from quern.plans.querylang import Node, QuerySyntaxError, parse, positive_terms
 from quern.sources import store
 
+# two small corpora of our own
 CORPUS_A = {
-    "hashing.md": "Consistent hashing places chunks on nodes using a ring of virtual nodes so that joins and leaves migrate little data.",
-    "replication.md": "Each chunk is replicated onto three distinct nodes. Replication keeps the cluster available when a node dies.",
-    "bm25.md": "BM25 ranks documents by term frequency saturation and document length normalization. Ranking is lexical, not semantic.",
-    "wal.md": "A write-ahead log makes writes crash consistent: append to the log, fsync, then apply.",
+    "bread.md": "Sourdough bread rises slowly on a warm shelf near an old oven so that loaves and rolls keep an open crumb.",
+    "ovens.md": "Every oven is heated by three burners. Heating holds the shelf warm when a burner fails.",
+    "salt.md": "Salt tightens dough by slowing yeast activity and strengthening gluten. Slowing is gradual, not sudden.",
+    "diary.md": "A well-kept diary makes bakers calm: note to the diary, rest, then bake.",
 }
 CORPUS_B = [
-    ("wal.md", "A write ahead log makes writes crash consistent.", {"author": "ojas", "type": "note", "lang": "en"}),
-    ("hashing.md", "Consistent hashing places chunks on a ring of nodes.", {"author": "harshal", "type": "note", "lang": "en"}),
-    ("ordering.md", "The log is appended, then we write.", {"author": "ojas", "type": "draft", "lang": "en"}),
-    ("gap.md", "chunks of the ring", {"author": "harshal", "type": "draft"}),
+    ("diary.md", "A well kept diary makes bakers calm.", {"owner": "mill", "type": "note", "lang": "en"}),
+    ("bread.md", "Sourdough bread places loaves on a shelf of wood.", {"owner": "shop", "type": "note", "lang": "en"}),
+    ("order.md", "The diary is closed, then we bake well.", {"owner": "mill", "type": "draft", "lang": "en"}),
+    ("gap.md", "loaves of the shelf", {"owner": "shop", "type": "draft"}),
 ]
 
 
+def bm25(corpus, terms):
+    """(file_id, score) of documents with one of ``terms``, best first: the formula, on plain lists."""
+    words = {k: [t for w in v.split() for t in analyze_word(w)] for k, v in corpus}
+    mean = sum(map(len, words.values())) / len(words)
+    scores = {}
+    for t in terms:
+        n = sum(t in w for w in words.values())
+        for k, w in words.items():
+            if tf := w.count(t):
+                scores[k] = scores.get(k, 0) + math.log(1 + (len(words) - n + 0.5) / (n + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(w) / mean))
+    return sorted(((k, round(x, 6)) for k, x in scores.items()), key=lambda r: (-r[1], r[0]))
+
+
+def near(got, want):
+    assert [k for k, _ in got] == [k for k, _ in want] and all(abs(x - y) < 2e-6 for (_, x), (_, y) in zip(got, want))
+
+
 def build(spark, rows):
     return ix.Index.build(spark.createDataFrame([(a, b, c, k) for k, (a, b, c) in enumerate(rows)], "file_id string, text string, fields map<string,string>, seq long")).persist()
 
@@ -41,6 +62,7 @@ def hits(index, query, k=10, **more):
     return [(r["file_id"], r["score"]) for r in search.search(index, query, k, **more).collect()]
 
 
+# Words with their stems as Porter's algorithm publishes them.
 PAIRS = "caresses caress ponies poni ties ti caress caress cats cat feed feed plastered plaster bled bled motoring motor sing sing hopping hop tanned tan falling fall hissing hiss fizzed fizz filing file sized size happy happi sky sky controll control roll roll rate rate a a is is as as university univers universe univers organization organ ytnyizer ytnyizer yttbiliti yttbiliti royying royi iyying iyi ygaue ygaue ydoesll ydoesll".split()
 
 
@@ -69,9 +91,9 @@ def test_analysis(spark):
     assert len(STOP_WORDS) == 124
     docs = spark.createDataFrame([("a", "How does a filesystem journal writes?"), ("b", "chunks are replicated across the ring"), ("c", "the and of a to"), ("d", None), ("e", "été")], "file_id string, text string")
     got = sorted((r["file_id"], r["position"], r["term"]) for r in analyze(docs).collect())
-    assert got == [("a", 3, "filesystem"), ("a", 4, "journal"), ("a", 5, "write"), ("b", 0, "chunk"), ("b", 2, "replic"), ("b", 3, "across"), ("b", 5, "ring")]
+    assert got == [("a", 3, "filesystem"), ("a", 4, "journal"), ("a", 5, "write"), ("b", 0, "chunk"), ("b", 2, "replic"), ("b", 3, "across"), ("b", 5, "ring"), ("e", 0, "t")]
     lengths = {r["file_id"]: r["length"] for r in ix.lengths(docs, analyze(docs)).collect()}
-    assert lengths == {"a": 3, "b": 4, "c": 0, "d": 0, "e": 0}
+    assert lengths == {"a": 3, "b": 4, "c": 0, "d": 0, "e": 1}
 
 
 def test_parser():
@@ -91,48 +113,56 @@ def test_parser():
     assert positive_terms(p("chunk AND ring NOT hash")) == ["chunk", "ring"]
     assert positive_terms(p("chunk OR ring OR chunk")) == ["chunk", "ring"]
     with pytest.raises(QuerySyntaxError):
-        p("hashing author:ojas", strict=True)
-    assert p("hashing author:ojas").kind == "or" and p("author:ojas log", strict=True).kind == "or"
+        p("hashing owner:mill", strict=True)
+    assert p("hashing owner:mill").kind == "or" and p("owner:mill log", strict=True).kind == "or"
     assert [o for _, o in parse('"the-ring x"').children] == [0, 1]
     assert [o for _, o in parse('"write - log"').children] == [0, 2]
     assert analyze_word("write-ahead") == ["write", "ahead"]
 
 
 def test_ranking(corpus_a):
-    assert hits(corpus_a, "consistent hashing ring") == [("hashing.md", 2.913778), ("wal.md", 0.726507)]
-    assert hits(corpus_a, "replicate") == [("replication.md", 1.731318)]
-    assert hits(corpus_a, "chunk nodes") == [("replication.md", 1.696321), ("hashing.md", 1.598017)]
-    assert hits(corpus_a, "hashing AND fsync") == []
-    assert [h[0] for h in hits(corpus_a, "nodes AND NOT replication")] == ["hashing.md"]
-    assert {h[0] for h in hits(corpus_a, "(fsync OR ranks) AND NOT hashing")} == {"wal.md", "bm25.md"}
-    for nothing in ("NOT hashing", "kubernetes", "the and of", ""):
+    rows = list(CORPUS_A.items())
+    near(hits(corpus_a, "warm bread shelf"), bm25(rows, ["warm", "bread", "shelf"]))
+    near(hits(corpus_a, "heat"), bm25(rows, ["heat"]))  # heated, Heating
+    assert hits(corpus_a, "heat")[0][0] == "ovens.md"
+    near(hits(corpus_a, "oven slowly slow"), bm25(rows, ["oven", "slowli", "slow"]))
+    assert hits(corpus_a, "sourdough AND diary") == []
+    assert [h[0] for h in hits(corpus_a, "shelf AND NOT burner")] == ["bread.md"]
+    assert {h[0] for h in hits(corpus_a, "(diary OR salt) AND NOT bread")} == {"diary.md", "salt.md"}
+    for nothing in ("NOT bread", "kubernetes", "the and of", ""):
         assert hits(corpus_a, nothing) == []
-    assert hits(corpus_a, "chunk", 0) == []
+    assert hits(corpus_a, "shelf", 0) == []
 
 
 def test_phrases_and_fields(corpus_b):
-    assert hits(corpus_b, '"write ahead log') == [("wal.md", 2.357874)]
-    assert hits(corpus_b, '"write log"') == [] and hits(corpus_b, '"chunks ring"') == []
-    assert {h[0] for h in hits(corpus_b, '"chunks of the ring"')} == {"gap.md"}
-    assert hits(corpus_b, "author:ojas") == [("ordering.md", 0.0), ("wal.md", 0.0)]
-    assert [h[0] for h in hits(corpus_b, "log AND author:ojas AND type:note")] == ["wal.md"]
-    assert hits(corpus_b, "author:oja") == [] and hits(corpus_b, "nosuchfield:note") == []
-    assert hits(corpus_b, "hashing") == hits(corpus_b, "hashing AND author:harshal") == [("hashing.md", 1.046933)]
-    assert {h[0] for h in hits(corpus_b, "log OR author:harshal")} == {"ordering.md", "wal.md"}
+    rows = [r[:2] for r in CORPUS_B]
+    near(hits(corpus_b, '"well kept diary'), [r for r in bm25(rows, ["well", "kept", "diari"]) if r[0] == "diary.md"])
+    assert hits(corpus_b, '"well diary"') == [] and hits(corpus_b, '"loaves shelf"') == []
+    # loaves 0, shelf 3 in gap.md; loaves 3, shelf 6 in bread.md: stop words between count as places
+    assert {h[0] for h in hits(corpus_b, '"loaves of the shelf"')} == {"gap.md", "bread.md"}
+    assert hits(corpus_b, "owner:mill") == [("diary.md", 0.0), ("order.md", 0.0)]
+    assert [h[0] for h in hits(corpus_b, "diary AND owner:mill AND type:note")] == ["diary.md"]
+    assert hits(corpus_b, "owner:mil") == [] and hits(corpus_b, "nosuchfield:note") == []
+    assert hits(corpus_b, "sourdough") == hits(corpus_b, "sourdough AND owner:shop")
+    near(hits(corpus_b, "sourdough"), bm25(rows, ["sourdough"]))
+    assert {h[0] for h in hits(corpus_b, "diary OR owner:shop")} == {"order.md", "diary.md"}
 
 
 def test_suggestions(corpus_b):
     vocab = ix.vocabulary(corpus_b.terms)
-    assert [r["surface"] for r in search.autocomplete(vocab, "consist").collect()] == ["consistent"]
+    assert [r["surface"] for r in search.autocomplete(vocab, "sour").collect()] == ["sourdough"]
     assert search.autocomplete(vocab, "").count() == 0
-    assert search.did_you_mean(vocab, "hashng").first()["surface"] == "hashing"
-    assert search.did_you_mean(vocab, "hashing").count() == 0 and search.did_you_mean(vocab, "kubernetes").count() == 0
+    assert search.did_you_mean(vocab, "sourdogh").first()["surface"] == "sourdough"
+    assert search.did_you_mean(vocab, "sourdough").count() == 0 and search.did_you_mean(vocab, "kubernetes").count() == 0
 
 
 def test_shards_score_as_one_index(corpus_a):
     shards = corpus_a.docs.select("file_id", (F.col("seq") % 3).cast("int").alias("shard"))
-    assert hits(corpus_a, "chunk nodes", shards=shards) == hits(corpus_a, "chunk nodes")
-    assert hits(corpus_a, "chunk nodes", shards=shards, stats="local") != hits(corpus_a, "chunk nodes")
+    near(hits(corpus_a, "oven shelf", shards=shards), hits(corpus_a, "oven shelf"))
+    local = hits(corpus_a, "oven shelf", shards=shards, stats="local")
+    assert local != hits(corpus_a, "oven shelf")
+    # without the shard of salt.md (seq 2) no statistics are global: the others score by their own
+    assert hits(corpus_a, "oven shelf", shards=shards, exclude_shards=(2,)) == [h for h in local if h[0] != "salt.md"]
 
 
 def test_snippet():
@@ -147,6 +177,8 @@ def test_increments_and_snapshots(spark, tmp_path):
     ops = spark.createDataFrame(rows, "file_id string, text string, seq long, op string").withColumn("fields", F.create_map().cast("map<string,string>"))
     index = ix.Index.build(ix.live(ops).drop("op"))
     assert {r["term"]: r["n"] for r in ix.document_frequency(index.terms).collect()} == {"consist": 1, "hash": 1}
+    start = time.time()
+    assert [h[0] for h in hits(index, "hashing")] == ["a"] and time.time() - start < 60  # neither cached nor written
     store.save(index, str(tmp_path))
     again = store.load(spark, str(tmp_path))
     assert hits(again, "hashing") == hits(index, "hashing")
@@ -158,3 +190,34 @@ def test_increments_and_snapshots(spark, tmp_path):
 def test_text_sniffing(spark):
     df = spark.createDataFrame([(b"text",), (b"",), (b"a\x00b",)], "data binary")
     assert [r[0] for r in df.select(looks_like_text(F.col("data"))).collect()] == [True, False, False]
+
+
+def test_directories(spark, tmp_path):
+    from quern.sources.corpus import directory
+
+    (tmp_path / "sub").mkdir()
+    for name, text in (("b c+d.md", "two"), ("a.txt", "one"), ("sub/z.md", "three"), ("no.MD", "x"), ("no.py", "x")):
+        (tmp_path / name).write_text(text)
+    assert [tuple(r) for r in directory(spark, str(tmp_path)).collect()] == [("a.txt", "one"), ("b c+d.md", "two"), ("sub/z.md", "three")]
+    assert directory(spark, str(tmp_path / "missing")).count() == 0
+
+
+def test_streamed_operations(spark, tmp_path):
+    from quern.streaming.ingest import stream_into
+
+    schema = "file_id string, text string, fields map<string,string>, seq long, op string"
+    for k, rows in enumerate(([("a", "bread", None, 1, "upsert"), ("b", "salt", None, 2, "upsert")], [("a", "", None, 3, "delete"), ("b", "salt dough", None, 4, "upsert")])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "ops"))
+        stream_into(spark.readStream.schema(schema).parquet(str(tmp_path / "ops")), str(tmp_path / "index"), str(tmp_path / "seen")).awaitTermination()
+    index = store.load(spark, str(tmp_path / "index"))
+    assert [(r["file_id"], r["text"]) for r in index.docs.collect()] == [("b", "salt dough")]
+    assert [h[0] for h in hits(index, "dough")] == ["b"]
+
+
+def test_compaction(spark):
+    rows = [("a", 1, "upsert"), ("a", 2, "upsert"), ("b", 3, "upsert"), ("c", 4, "upsert"), ("c", 5, "delete")]
+    ops = spark.createDataFrame(rows, "file_id string, seq long, op string")
+    assert tuple(ix.compaction(ops).first()) == (4, 2, True)
+    docs = spark.range(3000).select(F.col("id").cast("string").alias("file_id"), (F.col("id") * 7 % 3000 * F.col("id") % 977).alias("seq"))
+    got = [r["doc_id"] for r in ix.compacted(docs).orderBy("seq", "file_id").collect()]
+    assert got == list(range(3000)) and ix.compacted(docs.limit(0)).count() == 0
