@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,24 @@ def tokens(docs: DataFrame) -> DataFrame:
     return docs.select("file_id", F.posexplode(tokenize(F.col("text"))).alias("position", "surface"))
 
 
+def token_offsets(docs: DataFrame) -> DataFrame:
+    """(file_id, position, surface, begin, end): tokens with their places [begin, end) in the UTF-8 bytes of the text."""
+    token = re.compile(TOKEN.encode())
+
+    def run(batches):
+        for batch in batches:
+            rows = [
+                (file_id, k, m[0].decode().lower(), m.start(), m.end())
+                for file_id, text in zip(batch.column("file_id").to_pylist(), batch.column("text").to_pylist())
+                for k, m in enumerate(token.finditer((text or "").encode()))
+            ]
+            columns = list(zip(*rows)) or [()] * 5
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["file_id", "position", "surface", "begin", "end"])
+
+    return docs.select("file_id", "text").mapInArrow(run, "file_id string, position int, surface string, begin int, end int")
+
+
 def not_stop(surface: str = "surface") -> Column:
     return ~F.col(surface).isin(*STOP_WORDS)
 

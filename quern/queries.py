@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quern.functions.stemmer import stem_sql, stems
-from quern.functions.text import STOP_WORDS, analyze, not_stop, tokens
-from quern.operators import cache, cluster, codec, search
+from quern.functions.text import STOP_WORDS, analyze, not_stop, token_offsets, tokens
+from quern.operators import cache, cluster, codec, coordinator, metadata, search
 from quern.operators import index as ix
 from quern.sources.corpus import documents
 
@@ -43,7 +43,7 @@ pref5 AS (SELECT chunk_id, node_id, row_number() OVER (PARTITION BY chunk_id ORD
 
 def _with(body: str, base: str = _BASE) -> str:
     """SQL of ``body``: with the common tables, unless it has its own."""
-    return f"WITH {base.strip()} {body}"
+    return f"WITH {base.strip()}{'' if body.startswith(',') else ' '}{body}"
 
 
 def query(name: str, sql: str | None = None, base: str | None = _BASE):
@@ -95,6 +95,18 @@ def _(spark, sf):
     return analyze(documents(spark, sf))
 
 
+@query(
+    "token_offsets",
+    """WITH p AS (SELECT CAST(doc_id AS VARCHAR) AS file_id, regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9]+') AS l FROM documents WHERE text IS NOT NULL),
+u AS (SELECT file_id, unnest(l) AS piece, unnest(range(len(l))) AS k FROM p),
+o AS (SELECT *, sum(octet_length(encode(piece))) OVER (PARTITION BY file_id ORDER BY k) AS stop FROM u)
+SELECT file_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY k) - 1 AS INTEGER) AS position, lower(piece) AS surface, CAST(stop - octet_length(encode(piece)) AS INTEGER) AS "begin", CAST(stop AS INTEGER) AS "end" FROM o WHERE regexp_matches(piece, '^[A-Za-z0-9]')""",
+    None,
+)
+def _(spark, sf):
+    return token_offsets(documents(spark, sf))
+
+
 @query("ring_hash", "SELECT CAST(doc_id AS VARCHAR) AS file_id, substring(sha256(CAST(doc_id AS VARCHAR)), 1, 16) AS h FROM documents", None)
 def _(spark, sf):
     return documents(spark, sf).select("file_id", cluster.ring_hash(F.col("file_id")).alias("h"))
@@ -280,7 +292,8 @@ def _(spark, sf):
     return search.search(index_of(spark, sf), "attion reer", 10, shards=shards_of(spark, sf), stats="local")
 
 
-@query("partial_results", "SELECT file_id, round(sum(part), 6) AS score FROM scores JOIN shards USING (file_id) WHERE term IN ('attion', 'reer') AND shard <> 2 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10", _SHARDS)
+# without one shard's statistics, each of the others scores by its own
+@query("partial_results", "SELECT file_id, round(sum(part), 6) AS score FROM lscores WHERE term IN ('attion', 'reer') AND shard <> 2 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10", _LOCAL)
 def _(spark, sf):
     return search.search(index_of(spark, sf), "attion reer", 10, shards=shards_of(spark, sf), exclude_shards=(2,))
 
@@ -288,10 +301,58 @@ def _(spark, sf):
 @query("merge_dedup", "SELECT file_id, max(score) AS score FROM (SELECT file_id, round(sum(part), 6) AS score FROM scores WHERE term = 'attion' GROUP BY 1 UNION ALL SELECT file_id, round(sum(part), 6) / 2 FROM scores WHERE term = 'attion' GROUP BY 1) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 def _(spark, sf):
     i = index_of(spark, sf)
-    hits = search.search(i, "attion", 1 << 30)
+    hits = search.search(i, "attion", 20)  # the best ten of both halves are among these
     return search.merge_hits(hits.union(hits.select("file_id", F.col("score") / 2)), 10)
 
 
+@query("shard_topk", "SELECT file_id, shard, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY score DESC, file_id) AS rank FROM (SELECT file_id, shard, round(sum(part), 6) AS score FROM scores JOIN shards USING (file_id) WHERE term IN ('tion', 'reer') GROUP BY 1, 2)) WHERE rank <= 3", _SHARDS)
+def _(spark, sf):
+    hits = search.search(index_of(spark, sf), "tion reer", 1000)  # over three times as many as any shard is asked for
+    return search.shard_top_k(hits.join(shards_of(spark, sf), "file_id"), 3).select("file_id", "shard", "score", "rank")
+
+
+def _coordinator(spark, sf) -> coordinator.Coordinator:
+    return coordinator.Coordinator(index_of(spark, sf), shards_of(spark, sf), 4)
+
+
+@query("coordinator_query", "SELECT *, 4 AS responded, 4 AS queried FROM (" + _TOP.format("'attion', 'reer'", "", 10) + ")")
+def _(spark, sf):
+    return _coordinator(spark, sf).plan("attion reer", 10)
+
+
+@query("coordinator_partial", "SELECT *, 3 AS responded, 4 AS queried FROM (SELECT file_id, round(sum(part), 6) AS score FROM lscores WHERE term IN ('attion', 'reer') AND shard <> 1 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5)", _LOCAL)
+def _(spark, sf):
+    return _coordinator(spark, sf).plan("attion reer", 5, down=(1,))
+
+
+# asked with a shard down, again when it is back, a third time, and with another number of hits
+@query(
+    "coordinator_cache",
+    """SELECT step, from_cache, responded, scoring, CAST(least(top_k, n) AS INTEGER) AS n_hits FROM (VALUES (1, false, 3, 'local', 5, 2), (2, false, 4, 'global', 5, -1), (3, true, 4, 'global', 5, -1), (4, false, 4, 'global', 7, -1)) t(step, from_cache, responded, scoring, top_k, down),
+LATERAL (SELECT count(DISTINCT file_id) AS n FROM postings JOIN shards USING (file_id) WHERE term IN ('attion', 'reer') AND shard <> down)""",
+    _SHARDS,
+)
+def _(spark, sf):
+    c, rows = _coordinator(spark, sf), []
+    for step, (top_k, down) in enumerate([(5, (2,)), (5, ()), (5, ()), (7, ())], 1):
+        a = c.query("attion reer", top_k, down)
+        rows.append((step, a.from_cache, a.responded, a.scoring, len(a.hits)))
+    return spark.createDataFrame(rows, "step int, from_cache boolean, responded int, scoring string, n_hits int")
+
+
+# -1 stands for all shards together
+@query("shard_totals", "SELECT coalesce(shard, -1) AS shard, count(DISTINCT file_id) AS n, count(DISTINCT term) AS unique_terms, count(term) AS terms FROM shards LEFT JOIN terms USING (file_id) GROUP BY ROLLUP (shard)", _SHARDS)
+def _(spark, sf):
+    i, s = index_of(spark, sf), shards_of(spark, sf)
+    docs = i.doc_lengths.join(s, "file_id").groupBy("shard").agg(F.count("*").alias("n"), F.sum("length").alias("terms"))
+    unique = i.terms.join(s, "file_id").select("shard", "term").distinct()
+    each = docs.join(unique.groupBy("shard").agg(F.count("*").alias("unique_terms")), "shard", "left")
+    total = docs.agg(F.sum("n").alias("n"), F.sum("terms").alias("terms"))
+    everywhere = unique.select("term").distinct().agg(F.count("*").alias("unique_terms"))
+    rows = each.select("shard", "n", F.coalesce("unique_terms", F.lit(0)).alias("unique_terms"), "terms")
+    return rows.unionByName(total.join(F.broadcast(everywhere)).withColumn("shard", F.lit(-1)))  # one row each
+
+
 # ------------------------------------------------------------------- suggest
 
 
@@ -334,6 +395,11 @@ def _(spark, sf):
     return ix.compacted(ix.live(_ops(spark, sf))).select("file_id", "doc_id")
 
 
+@query("auto_compaction", "SELECT *, dead > 0.3 * total AS compact FROM (SELECT count(*) + count(*) FILTER (WHERE doc_id % 7 = 0) AS total, count(*) + count(*) FILTER (WHERE doc_id % 7 = 0) - count(*) FILTER (WHERE doc_id % 5 <> 0) AS dead FROM documents)", None)
+def _(spark, sf):
+    return ix.compaction(_ops(spark, sf))
+
+
 # ---------------------------------------------------------------------- codec
 
 _GAPS = _BASE + ", numbered AS (SELECT p.term, d.seq AS doc_id, p.tf, p.positions FROM postings p JOIN docs d USING (file_id))"
@@ -366,7 +432,7 @@ def _(spark, sf):
     return index_of(spark, sf).postings.agg(F.sum(4 * (3 + F.size("positions"))).cast("long").alias("bytes"))
 
 
-@query("codec_roundtrip")
+@query("codec_roundtrip", SQL["posting_compressed_size"].replace("AS bytes FROM (", "AS bytes, true AS same FROM ("), None)
 def _(spark, sf):
     return codec.roundtrip(_numbered(spark, sf))
 
@@ -487,6 +553,175 @@ def _(spark, sf):
     return cluster.rebalance_plan(located, _nodes(spark, range(1, 7)), _ring(6))
 
 
+# -------------------------------------------- files in the cluster, and its upkeep
+
+_DFS = """
+nodes AS (SELECT 'node' || i AS node_id FROM range(1, 7) t(i)),
+ring AS (SELECT node_id, substring(sha256(node_id || '#' || i), 1, 16) AS pos FROM nodes, range(128) t(i)),
+files AS (SELECT CAST(doc_id AS VARCHAR) AS file_id, encode(coalesce(text, '')) AS data FROM documents),
+parts AS (SELECT file_id, CAST(generate_series // 65536 AS INTEGER) AS ordinal, sha256(data[generate_series + 1 : generate_series + 65536]) AS chunk_id FROM (SELECT * FROM files WHERE octet_length(data) > 0), generate_series(0, octet_length(data) - 1, 65536)),
+pref AS (SELECT chunk_id, node_id, row_number() OVER (PARTITION BY chunk_id ORDER BY first) AS rank FROM (SELECT k.chunk_id, r.node_id, min(CASE WHEN r.pos >= substring(sha256(k.chunk_id), 1, 16) THEN '0' ELSE '1' END || r.pos) AS first FROM (SELECT DISTINCT chunk_id FROM parts) k, ring r GROUP BY 1, 2)),
+placed AS (SELECT p.*, r.node_id, r.rank, r.node_id NOT IN ('node3', 'node4') AS ack FROM parts p JOIN pref r USING (chunk_id) WHERE r.rank <= 3),
+acks AS (SELECT file_id, ordinal, count(*) FILTER (WHERE ack) AS acked, arg_min(node_id, rank) FILTER (WHERE ack) AS owner FROM placed GROUP BY 1, 2),
+states AS (SELECT file_id, count(*) AS n_chunks, min(acked) >= 2 AS committed, arg_min(owner, ordinal) AS owner FROM acks GROUP BY 1),
+registered AS (SELECT f.file_id, coalesce(s.n_chunks, 0) AS n_chunks, sha256(f.data) AS sha256, coalesce(s.committed, true) AS committed, octet_length(f.data) > 0 AS is_text, CASE WHEN s.committed THEN s.owner END AS owner FROM files f LEFT JOIN states s USING (file_id)),
+located AS (SELECT DISTINCT chunk_id, node_id FROM placed JOIN registered USING (file_id) WHERE ack AND committed)
+"""
+_PART = 65536
+
+
+def _uploaded(spark, sf) -> tuple[DataFrame, DataFrame]:
+    return cluster.upload(_files(spark, sf), _ring(), _nodes(spark, (1, 2, 5, 6)), _PART)
+
+
+def _parts(spark, sf) -> DataFrame:
+    return cluster.split_chunks(_files(spark, sf), _PART)
+
+
+@query("upload_pipeline", "SELECT * FROM registered", _DFS)
+def _(spark, sf):
+    return _uploaded(spark, sf)[0]
+
+
+@query("upload_locations", "SELECT * FROM located", _DFS)
+def _(spark, sf):
+    return _uploaded(spark, sf)[1]
+
+
+@query(
+    "download_pipeline",
+    """SELECT file_id, CASE WHEN NOT reach THEN 'UNAVAILABLE' WHEN bad THEN 'CORRUPT' ELSE 'OK' END AS status, CASE WHEN reach AND NOT bad THEN sha256 END AS sha256 FROM (
+SELECT r.file_id, any_value(r.sha256) AS sha256, coalesce(bool_and(p.chunk_id IS NULL OR l.chunk_id IS NOT NULL), true) AS reach, coalesce(bool_or(starts_with(p.chunk_id, '0')), false) AS bad
+FROM registered r LEFT JOIN parts p USING (file_id) LEFT JOIN (SELECT DISTINCT chunk_id FROM located WHERE node_id IN ('node1', 'node2')) l ON l.chunk_id = p.chunk_id WHERE r.committed GROUP BY 1)""",
+    _DFS,
+)
+def _(spark, sf):
+    registered, located = _uploaded(spark, sf)
+    kept = registered.where("committed")
+    parts = _parts(spark, sf).join(kept.select("file_id"), "file_id", "left_semi")
+    # two of the four nodes have gone, and some chunks are damaged
+    store = parts.select("chunk_id", F.when(F.startswith("chunk_id", F.lit("0")), F.lit(b"damaged")).otherwise(F.col("data")).alias("data")).dropDuplicates(["chunk_id"])
+    return cluster.download(parts.select("file_id", "ordinal", "chunk_id"), kept.select("file_id", "sha256"), located, _nodes(spark, (1, 2)), store).select("file_id", "status", "sha256")
+
+
+@query("chunk_get", "SELECT DISTINCT chunk_id, CASE WHEN starts_with(chunk_id, '0') THEN 'NOT_FOUND' WHEN starts_with(chunk_id, 'f') THEN 'CHECKSUM_MISMATCH' ELSE 'OK' END AS status FROM parts", _DFS)
+def _(spark, sf):
+    parts = _parts(spark, sf)
+    held = parts.where("NOT startswith(chunk_id, '0')").dropDuplicates(["chunk_id"])
+    store = held.select("chunk_id", F.when(F.startswith("chunk_id", F.lit("f")), F.lit(b"damaged")).otherwise(F.col("data")).alias("data"))
+    return cluster.get_chunks(parts, store).select("chunk_id", "status")
+
+
+@query("chunk_exists", "SELECT DISTINCT p.chunk_id, q.chunk_id IS NOT NULL AS exists FROM parts p LEFT JOIN (SELECT DISTINCT chunk_id FROM parts WHERE CAST(file_id AS BIGINT) % 3 = 0) q USING (chunk_id)", _DFS)
+def _(spark, sf):
+    parts = _parts(spark, sf).select("file_id", "chunk_id")
+    return cluster.chunks_exist(parts, parts.where("CAST(file_id AS BIGINT) % 3 = 0"))
+
+
+@query("chunk_replicate", "SELECT chunk_id, node_id FROM pref WHERE rank <= 3 UNION SELECT chunk_id, 'node6' FROM pref", _RING)
+def _(spark, sf):
+    located = cluster.replicas(_keys(spark, sf), _ring(), 3, "chunk_id")
+    return cluster.replicate(located, located.select("chunk_id").union(spark.createDataFrame([("unknown",)], "chunk_id string")).select("chunk_id", F.lit("node6").alias("node_id")))
+
+
+@query("chunk_delete", "SELECT chunk_id, node_id FROM pref WHERE rank <= 3 AND node_id <> 'node3'", _RING)
+def _(spark, sf):
+    located = cluster.replicas(_keys(spark, sf), _ring(), 3, "chunk_id")
+    return cluster.delete_chunks(located, _keys(spark, sf).select("chunk_id", F.lit("node3").alias("node_id")))
+
+
+_MOVES = _RING.strip() + """,
+changes AS (SELECT rank AS seq, chunk_id, node_id, 'ADD' AS change FROM pref WHERE rank <= 3 UNION ALL SELECT 10 + rank, chunk_id, node_id, 'REMOVE' FROM pref WHERE rank <= 2 UNION ALL SELECT 20, chunk_id, 'node6', 'ADD' FROM keys),
+located AS (SELECT chunk_id, node_id FROM changes GROUP BY 1, 2 HAVING arg_max(change, seq) = 'ADD')"""
+
+
+def _moved(spark, sf) -> DataFrame:
+    placed = cluster.replicas(_keys(spark, sf), _ring(), 3, "chunk_id")
+    first = placed.select(F.col("rank").alias("seq"), "chunk_id", "node_id", F.lit("ADD").alias("change"))
+    gone = placed.where("rank <= 2").select(F.col("rank") + 10, "chunk_id", "node_id", F.lit("REMOVE"))
+    return metadata.locations(first.union(gone).union(_keys(spark, sf).select(F.lit(20), "chunk_id", F.lit("node6"), F.lit("ADD"))))
+
+
+@query("location_changes", "SELECT * FROM located", _MOVES)
+def _(spark, sf):
+    return _moved(spark, sf)
+
+
+@query("chunk_ids", "SELECT DISTINCT chunk_id FROM located", _MOVES)
+def _(spark, sf):
+    return metadata.chunk_ids(_moved(spark, sf))
+
+
+@query("chunk_locations", "SELECT node_id FROM located WHERE chunk_id = '7'", _MOVES)
+def _(spark, sf):
+    return metadata.chunk_locations(_moved(spark, sf), "7")
+
+
+# the second version of a file, where there is one, has its first chunk only; holders are those of now
+@query(
+    "file_info",
+    """, v AS (SELECT file_id, 1 AS version FROM files UNION ALL SELECT file_id, 2 FROM files WHERE CAST(file_id AS BIGINT) % 4 = 0),
+last AS (SELECT file_id, max(version) AS version FROM v GROUP BY 1)
+SELECT p.file_id, CAST(version AS BIGINT) AS version, p.ordinal, p.chunk_id, coalesce((SELECT string_agg(node_id, ',' ORDER BY node_id) FROM located l WHERE l.chunk_id = p.chunk_id), '') AS nodes FROM parts p JOIN last USING (file_id) WHERE version = 1 OR ordinal = 0""".strip(),
+    _DFS,
+)
+def _(spark, sf):
+    parts, (_, located) = _parts(spark, sf).select("file_id", "ordinal", "chunk_id"), _uploaded(spark, sf)
+    files = documents(spark, sf).select("file_id", F.lit(1).cast("long").alias("version"))
+    again = files.where("CAST(file_id AS BIGINT) % 4 = 0").withColumn("version", F.lit(2).cast("long"))
+    chunks = parts.withColumn("version", F.lit(1).cast("long")).unionByName(parts.where("ordinal = 0 AND CAST(file_id AS BIGINT) % 4 = 0").withColumn("version", F.lit(2).cast("long")))
+    return metadata.get_file(files.union(again), chunks, located).withColumn("nodes", F.array_join("nodes", ","))
+
+
+@query("ring_state", "SELECT 'user-' || user_id AS node_id, (SELECT count(*) FROM events) AS ring_version FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) <> 'error'", None)
+def _(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    return metadata.ring_state(e.select(F.col("event_id").alias("seq"), F.concat(F.lit("user-"), "user_id").alias("node_id"), F.when(F.col("event_type") == "error", "LEAVE").otherwise("JOIN").alias("change")))
+
+
+@query("shard_discovery", "SELECT 'node' || s_suppkey AS node_id, s_name AS address FROM supplier WHERE s_nationkey % 2 = 0 ORDER BY 1", None)
+def _(spark, sf):
+    s = spark.read.parquet(f"{sf}/supplier.parquet")
+    roles = F.when(F.col("s_nationkey") % 2 == 0, F.array(F.lit("STORAGE"), F.lit("SEARCH"))).otherwise(F.array(F.lit("STORAGE")))
+    return metadata.search_shards(s.select(F.concat(F.lit("node"), "s_suppkey").alias("node_id"), F.col("s_name").alias("address"), roles.alias("roles")))
+
+
+# a text belongs to the shard of the node that the ring names first for its first chunk
+@query("ring_partition", "SELECT file_id, node_id AS shard FROM parts JOIN pref USING (chunk_id) WHERE ordinal = 0 AND rank = 1", _DFS)
+def _(spark, sf):
+    first = _parts(spark, sf).where("ordinal = 0").select("file_id", "chunk_id")
+    return cluster.replicas(first, _ring(), 1, "chunk_id").select("file_id", F.col("node_id").alias("shard"))
+
+
+@query("health_transitions", "SELECT round, node_id, alive FROM (SELECT *, coalesce(lag(alive) OVER (PARTITION BY node_id ORDER BY round), true) AS before FROM (SELECT event_id // 500 AS round, 'user-' || user_id % 50 AS node_id, count(*) FILTER (WHERE event_type = 'error') < 3 AS alive FROM events GROUP BY 1, 2)) WHERE alive <> before", None)
+def _(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    states = e.groupBy(F.expr("event_id div 500").alias("round"), F.concat(F.lit("user-"), F.col("user_id") % 50).alias("node_id")).agg((F.count(F.when(F.col("event_type") == "error", 1)) < 3).alias("alive"))
+    return cluster.transitions(states)
+
+
+_ROUND = _RING.strip() + """,
+held AS (SELECT chunk_id, node_id FROM pref5 WHERE rank <= 3),
+weak AS (SELECT chunk_id, 3 - count(*) FILTER (WHERE node_id <> 'node2') AS lacks FROM held GROUP BY 1),
+repaired AS (SELECT * FROM held UNION ALL SELECT chunk_id, node_id FROM (SELECT p.chunk_id, p.node_id, w.lacks, row_number() OVER (PARTITION BY p.chunk_id ORDER BY p.rank) AS place FROM pref p JOIN weak w USING (chunk_id) WHERE p.node_id <> 'node2' AND NOT EXISTS (SELECT 1 FROM held h WHERE h.chunk_id = p.chunk_id AND h.node_id = p.node_id)) WHERE place <= lacks),
+wanted AS (SELECT chunk_id, node_id FROM pref WHERE rank <= 3 AND node_id <> 'node2' EXCEPT SELECT chunk_id, node_id FROM repaired),
+spare AS (SELECT chunk_id, node_id FROM repaired WHERE node_id <> 'node2' EXCEPT SELECT chunk_id, node_id FROM pref WHERE rank <= 3)"""
+
+
+# node6 is new, and node2 has failed three probes; a node that is no member is not looked at
+@query(
+    "maintenance_round",
+    "SELECT 'dead' AS what, 1 AS n UNION ALL SELECT 'repairs', (SELECT count(*) FROM repaired) - (SELECT count(*) FROM held) UNION ALL SELECT 'moves', (SELECT count(*) FROM wanted) UNION ALL SELECT 'evictions', (SELECT CAST(sum(least(a, b)) AS BIGINT) FROM (SELECT chunk_id, count(*) AS a FROM wanted GROUP BY 1) JOIN (SELECT chunk_id, count(*) AS b FROM spare GROUP BY 1) USING (chunk_id))",
+    _ROUND,
+)
+def _(spark, sf):
+    located = cluster.replicas(_keys(spark, sf), _ring(5), 3, "chunk_id").select("chunk_id", "node_id")
+    probes = [(f"node{i}", k, i not in (2, 9)) for i in (1, 2, 3, 4, 5, 6, 9) for k in range(3)]
+    health, repairs, moves, _ = cluster.maintenance_round(_nodes(spark, range(1, 7)), spark.createDataFrame(probes, "node_id string, seq int, ok boolean"), located, _ring())
+    count = lambda df, what: df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")
+    return count(health.where("NOT alive"), "dead").union(count(repairs, "repairs")).union(count(moves, "moves")).union(count(moves.where("evicted IS NOT NULL"), "evictions"))
+
+
 # --------------------------------------------------------------------- caches
 
 

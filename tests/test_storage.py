@@ -20,6 +20,70 @@ def test_chunks(spark):
     assert good.count() == 0 and bad.count() == 1
 
 
+def test_damaged_and_missing_chunks_are_told(spark):
+    files = spark.createDataFrame([(f, bytes(f * 9, "ascii")) for f in "abcd"] + [("e", b"")], "file_id string, data binary")
+    parts = cluster.split_chunks(files, 4).persist()
+    bad = parts.where("NOT (file_id = 'b' AND ordinal = 1)").withColumn("data", F.when(F.expr("file_id = 'c' AND ordinal = 0"), F.lit(b"x")).otherwise(F.col("data")))
+    got = {r["file_id"]: (bytes(r["data"]), r["whole"]) for r in cluster.reassemble(bad).collect()}
+    assert got == {"a": (b"a" * 9, True), "b": (b"b" * 5, False), "c": (b"c" * 5, False), "d": (b"d" * 9, True)}
+    ids = spark.createDataFrame([(r["chunk_id"],) for r in parts.where("ordinal = 0 AND file_id = 'a'").collect()] + [("nope",)], "chunk_id string")
+    assert sorted(r["status"] for r in cluster.get_chunks(ids, parts).collect()) == ["NOT_FOUND", "OK"]
+    assert sorted(r["exists"] for r in cluster.chunks_exist(ids, parts).collect()) == [False, True]
+
+
+def test_upload_and_download(spark):
+    files = spark.createDataFrame([(f"f{k}", bytes(f"text {k} ", "ascii") * 40) for k in range(30)] + [("empty", b""), ("bin", b"\x00" * 9)], "file_id string, data binary")
+    ring = cluster.Ring([f"node{k}" for k in range(1, 6)])
+    registered, located = cluster.upload(files, ring, nodes(spark, ["node1", "node2", "node3"]), 64)
+    rows = {r["file_id"]: r for r in registered.collect()}
+    assert rows["empty"]["committed"] and rows["empty"]["n_chunks"] == 0 and not rows["bin"]["is_text"] and rows["bin"]["owner"] is None
+    parts = cluster.split_chunks(files, 64)
+    for name, r in rows.items():
+        asked = [ring.replicas_of(p["chunk_id"], 3) for p in parts.where(F.col("file_id") == name).orderBy("ordinal").collect()]
+        acked = [[n for n in a if n in ("node1", "node2", "node3")] for a in asked]
+        assert r["committed"] == all(len(a) >= 2 for a in acked)
+        assert r["owner"] == (acked[0][0] if r["committed"] and r["is_text"] and acked else None)
+    assert located.where("node_id IN ('node4', 'node5')").isEmpty()
+    kept = registered.where("committed").select("file_id", "sha256")
+    own = parts.join(kept, "file_id", "left_semi")
+    store = own.select("chunk_id", "data").dropDuplicates(["chunk_id"])
+    back = cluster.download(own.select("file_id", "ordinal", "chunk_id"), kept, located, nodes(spark, ["node1", "node2", "node3"]), store)
+    assert {r["status"] for r in back.collect()} == {"OK"} and back.count() == kept.count()
+    gone = cluster.download(own.select("file_id", "ordinal", "chunk_id"), kept, located, nodes(spark, ["node4"]), store)
+    assert {(r["file_id"] == "empty", r["status"]) for r in gone.collect()} == {(True, "OK"), (False, "UNAVAILABLE")}
+    with pytest.raises(ValueError):
+        cluster.upload(files, cluster.Ring(["a", "b"]), nodes(spark, ["a"]))
+
+
+def test_coordinator(spark):
+    from quern.operators.coordinator import Coordinator
+    from quern.operators.index import Index
+
+    rows = [(str(k), f"bread {'salt ' * (k % 3)}", {}, k) for k in range(12)]
+    index = Index.build(spark.createDataFrame(rows, "file_id string, text string, fields map<string,string>, seq long")).persist()
+    c = Coordinator(index, index.docs.select("file_id", (F.col("seq") % 4).cast("int").alias("shard")), 4)
+    part = c.query("salt", 3, down=(1,))
+    assert (part.responded, part.queried, part.scoring, part.complete) == (3, 4, "local", False)
+    whole = c.query("salt", 3)
+    assert whole.complete and not whole.from_cache and whole.scoring == "global" and whole.hits[0][0] == "11"
+    assert c.query("salt", 3).from_cache and not c.query("salt ", 3).from_cache and not c.query("salt", 4).from_cache
+    assert c.query("salt", 3).hits == whole.hits and c.cache_stats()["hits"] == 2 and c.cache_stats()["misses"] == 4
+    with pytest.raises(ValueError):
+        c.query("")
+
+
+def test_a_round_of_maintenance(spark):
+    keys = spark.range(60).select(F.sha2(F.col("id").cast("string"), 256).alias("chunk_id"))
+    five, six = (cluster.Ring([f"node{i}" for i in range(1, n + 1)]) for n in (5, 6))
+    located = cluster.replicas(keys, five, 3, "chunk_id").select("chunk_id", "node_id")
+    probes = spark.createDataFrame([(f"node{i}", k, i != 2) for i in range(1, 7) for k in range(3)], "node_id string, seq int, ok boolean")
+    health, repairs, moves, after = cluster.maintenance_round(nodes(spark, six.nodes), probes, located, six)
+    assert [r["node_id"] for r in health.where("NOT alive").collect()] == ["node2"]
+    assert repairs.count() == located.where("node_id = 'node2'").count() and all(r["target"] != "node2" for r in moves.collect())
+    held = after.where("node_id <> 'node2'").groupBy("chunk_id").count()
+    assert held.where("count < 3").isEmpty() and held.count() == 60
+
+
 def test_ring(spark):
     ring = cluster.Ring(["node1", "node2", "node3", "node4"])
     assert ring.replicas_of("some-chunk-id", 3) == ["node2", "node1", "node3"]
