@@ -3,9 +3,9 @@
 A turn is rendered as ``<|turn|>role\\ntext<|end|>\\n``.  Strings that could be taken for
 control strings of this or other templates get a backslash after their first character (one more
 if there are some), which is undone on reading.
-Prefix sums of turn tokens choose the longest run of turns that fits the budget beside
+Prefix sums of turn tokens, kept as the turns stream by, choose the longest run of turns that fits the budget beside
 the system turn and a little repeated history; only new assistant texts
-are under the loss mask, so each is learned once.
+are under the loss mask, so each is learned once.  A window is over its budget only if one turn alone is.
 """
 
 from __future__ import annotations
@@ -74,16 +74,19 @@ class _Conversation:
         self.open: list[_Turn] = []
         self.used = self.number = 0
 
-    def _repeated(self) -> list[_Turn]:
+    def _repeated(self, room: int) -> list[_Turn]:
+        """What is repeated in at most ``room`` tokens: the system turn before history, later history before earlier."""
         past, held = [], 0
+        system = self.system if self.number and self.system is not None and self.system.tokens <= room else None
         for turn in reversed(self.recent):
-            if len(past) == self.history_turns or held + turn.tokens > self.history_tokens:
+            spent = held + (0 if turn is system else turn.tokens)
+            if len(past) == self.history_turns or spent > self.history_tokens or spent + (system.tokens if system else 0) > room:
                 break
             past.append(turn)
-            held += turn.tokens
+            held = spent
         past.reverse()
-        if self.number and self.system is not None and self.system not in past:
-            past.insert(0, self.system)
+        if system is not None and system not in past:
+            past.insert(0, system)
         return past
 
     def add(self, turn: _Turn):
@@ -92,7 +95,7 @@ class _Conversation:
         if self.open and self.used + turn.tokens > self.budget:
             done = self.close()
         if not self.open:
-            self.past = self._repeated()
+            self.past = self._repeated(self.budget - turn.tokens)
             self.used = sum(t.tokens for t in self.past)
         self.open.append(turn)
         self.used += turn.tokens
@@ -130,8 +133,8 @@ def chat_windows(turns: DataFrame, tokenizer_path: str | None = None, *, budget:
     """Windows (conv_id, window, text, new, loss, n_tokens) of conversations (conv_id, turn, role, text).
 
     Turns go in order of turn, role, text (nulls first).  Every turn is new in one window; a window after the
-    first repeats the first system turn and up to ``history_turns`` turns of ``history_tokens`` together.
-    A turn over the budget gets a window without other new turns.  ``loss`` has
+    first repeats the first system turn and up to ``history_turns`` turns of ``history_tokens`` together, as far as
+    they fit beside its first new turn. A turn over the budget gets a window of its own.  ``loss`` has
     the code points of ``text`` that are learned.
 
     Null roles and texts count as empty; a null conv_id is a conversation; repeated rows are turns of

@@ -1,11 +1,10 @@
 """Mixing sources to target weights (operator 6) by Sainte-Lague apportionment.
 
-The words of a source lie on a line, its documents in seeded order; the line is cut
-into blocks of equal size.  All seats (blocks) of the mix go to the sources by
-highest quotients target / (2 k + 1).  A source with more seats than blocks passes
-over its line more than once, and of its last pass a seeded, evenly
-spaced choice of blocks is taken.  What a document gives follows from its
-place on the line alone, so blocks are never spelled out.
+The words of a source lie on a circular line, its documents in seeded order.  The source's part of the mix is a walk along
+it from a seeded place, up to ``MOST_PASSES`` times around, in blocks of equal size.  The mix is a row of
+output shards; each takes its seats (blocks) from the sources by highest quotients target / (2 k + 1), so that every
+shard has integer quotas, and the shards before it leave off where it goes on.  What a document gives follows from its
+place on the line and the sum of its source's quotas, so blocks are never spelled out.
 """
 
 from __future__ import annotations
@@ -22,10 +21,10 @@ from quern.llm._shared import settle
 
 WEIGHTS = (1, 2, 3)
 MOST_PASSES = 3
-#: Words of a block.  It doubles while a source would have over 2**30 blocks.
+#: Words of a block, at most; a block is at most a sixteenth of the least target, so that targets are met.
 BLOCK_WORDS = 32
-#: Blocks of all sources in one output shard.
-SHARD_BLOCKS = 4096
+#: Blocks of all sources in an output shard, at least, and how many shards there are at most: beyond, they hold more blocks.
+SHARD_BLOCKS, MOST_SHARDS = 4096, 256
 _WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -81,8 +80,8 @@ class SourcePlan:
     source: str | None
     size: int
     target: float
-    blocks: int = 0
     seats: int = 0
+    upto: tuple[int, ...] = ()  # seats in the shards before each shard, and in all
 
 
 @dataclass
@@ -90,127 +89,129 @@ class MixPlan:
     sources: list[SourcePlan]
     block_words: int
     seats: int
+    shards: int
 
     def shard_quotas(self, shard: int) -> list[int]:
-        """Blocks of each source in an output shard: the apportionment grows one
-        seat at a time, so a shard has what it adds to the shards before it."""
-        votes, most = [s.target for s in self.sources], [s.seats for s in self.sources]
-        upto = [sainte_lague(votes, min(self.seats, SHARD_BLOCKS * k), most) for k in (shard, shard + 1)]
-        return [b - a for a, b in zip(*upto)]
+        """Blocks of each source in an output shard."""
+        return [s.upto[shard + 1] - s.upto[shard] for s in self.sources]
 
 
 def plan(sizes: dict[str | None, int], weights=WEIGHTS, block_words: int = BLOCK_WORDS, most: int = MOST_PASSES) -> MixPlan:
+    """Quotas of every output shard: the apportionment grows by a shard's seats at a time, and a source never loses by it."""
     names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
     own = [sizes[s] for s in names]
-    weigh = [float(weights[k % len(weights)]) for k in range(len(names))]
-    while own and max(own) > block_words << 30:
-        block_words *= 2
-    want = targets(own, weigh, most)
-    sources = [SourcePlan(s, n, t, -(-n // block_words)) for s, n, t in zip(names, own, want)]
+    want = targets(own, [float(weights[k % len(weights)]) for k in range(len(names))], most)
+    block_words = max(1, min([block_words, *(int(t) // 16 for t in want if t > 0)]))
+    sources = [SourcePlan(s, n, t) for s, n, t in zip(names, own, want)]
     seats = round(sum(want) / block_words)
-    for s, q in zip(sources, sainte_lague(want, seats, [most * s.blocks for s in sources])):
-        s.seats = q
-    return MixPlan(sources, block_words, seats)
+    limits = [-(-most * n // block_words) for n in own]
+    shard_blocks = max(SHARD_BLOCKS, -(-seats // MOST_SHARDS))
+    shards = max(1, -(-seats // shard_blocks))
+    upto = [sainte_lague(want, min(seats, shard_blocks * k), limits) for k in range(shards + 1)]
+    for k, s in enumerate(sources):
+        s.upto = tuple(u[k] for u in upto)
+        s.seats = s.upto[-1]
+    return MixPlan(sources, block_words, seats, shards)
+
+
+def _mix(rows: DataFrame, weights, block_words: int, most: int, seed: int) -> DataFrame:
+    """``rows`` (row, doc_id, source, size, tie) with what the mix takes of each."""
+    spark = rows.sparkSession
+    rows = settle(rows, "sizes")
+    sizes = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()}
+    made = plan(sizes, weights, block_words, most)
+    schema = T.StructType(
+        [T.StructField("name", T.StringType()), *(T.StructField(k, T.LongType()) for k in ("source_size", "words", "turn")), T.StructField("target", T.DoubleType()), T.StructField("upto", T.ArrayType(T.LongType()))]
+    )
+    table = []
+    for k, s in enumerate(made.sources):
+        blocks = -(-s.size // made.block_words)
+        turn = (seed * 2654435761 + k * 40503) % blocks * made.block_words if blocks else 0
+        table.append((s.source, s.size, min(s.seats * made.block_words, most * s.size), turn, s.target, list(s.upto[1:])))
+    sources = spark.createDataFrame(table, schema)
+    placed = _placed(rows, seed).join(sources, F.col("source").eqNullSafe(F.col("name")), "left")
+    line, n = F.col("source_size"), F.col("size")
+    around = F.greatest(line, F.lit(1))  # a source without words has no line
+    placed = placed.withColumn("place", F.pmod(F.col("first_word") - F.col("turn"), around))
+    placed = placed.withColumn("passes", F.call_function("div", F.col("words"), around)).withColumn("rest", F.pmod("words", around))
+    upto = lambda x: F.col("passes") * x + F.least(x, F.col("rest"))  # noqa: E731  words taken of the first x of the line
+    end = F.col("place") + n
+    taken = F.when(end <= line, upto(end) - upto(F.col("place"))).otherwise(upto(line) - upto(F.col("place")) + upto(end - line))
+    placed = placed.withColumn("taken", F.when(n > 0, taken).otherwise(F.lit(0)).cast("long")).withColumn("block_words", F.lit(made.block_words).cast("long"))
+    return placed.withColumn("shard", F.when(F.col("taken") > 0, _shard(F.when(F.col("place") < F.col("words"), F.col("place")).otherwise(F.lit(0)))))
+
+
+def _shard(word: Column) -> Column:
+    """The output shard of a word of a source's walk."""
+    return F.size(F.filter("upto", lambda u: u * F.col("block_words") <= word))
 
 
 def mix_sources(docs: DataFrame, *, weights=WEIGHTS, block_words: int = BLOCK_WORDS, most: int = MOST_PASSES, seed: int = 20240607) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, size, source_size, target, taken, first_word, passes,
-    blocks, rest_blocks, turn, block_words.
+    """One row for each row of ``docs``: doc_id, size, source_size, target, taken, first_word, place, passes, rest, shard, block_words.
 
     ``size`` counts words (null text: 0); sources by code point, null last, weigh ``weights`` in turn.
-    ``taken`` counts the words that the mix takes, repeats included:
-    ``passes`` whole passes, and of the last, partial pass the rest.  ``first_word`` is the
-    place of the document on its source's line.  ``block_words`` is the size of blocks that was used: more
-    than was asked for if a source would have over 2**30 of them.
+    ``taken`` counts the words that the mix takes, repeats included: all of the document ``passes`` times, and those of its words once more
+    that lie before ``rest`` on the source's line.  ``first_word`` is the place of the document on that line, ``place`` counted
+    from where the walk begins.  ``shard`` is the output shard of the first word taken, null if none is.
+    A source gets its target but for less than a block.
 
     A null doc_id, repeated rows and empty texts keep their rows (an empty text gives
     nothing).  Other columns are not read.  An empty table gives an empty result.
-    What is collected is one total for each source.
+    What is collected is one total for each source; quotas are made for at most MOST_SHARDS shards.
     """
-    spark = docs.sparkSession
-    sized = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size")), "sizes")
-    sizes = {r["source"]: r["n"] for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()}
-    made = plan(sizes, weights, block_words, most)
-    schema = T.StructType(
-        [T.StructField("name", T.StringType()), *(T.StructField(k, T.LongType()) for k in ("source_size", "blocks", "passes", "rest", "turn")), T.StructField("target", T.DoubleType())]
-    )
-    rows = []
-    for k, s in enumerate(made.sources):
-        passes, rest = divmod(s.seats, s.blocks) if s.blocks else (0, 0)
-        turn = (seed * 2654435761 + k * 40503) % s.blocks if s.blocks else 0
-        rows.append((s.source, s.size, s.blocks, passes, rest, turn, s.target))
-    sources = spark.createDataFrame(rows, schema)
-    placed = _placed(sized, seed).join(sources, F.col("source").eqNullSafe(F.col("name")), "left")
-    size, first = F.col("size"), F.col("first_word")
-    part = _chosen_words(first + size, made.block_words) - _chosen_words(first, made.block_words)
-    return placed.select("doc_id", "size", "source_size", "target", (F.col("passes") * size + part).cast("long").alias("taken"), "first_word", "passes", "blocks", F.col("rest").alias("rest_blocks"), "turn", F.lit(made.block_words).cast("long").alias("block_words"))
-
+    rows = _mix(_rows(docs, F.lit(None).cast("long")), weights, block_words, most, seed)
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "first_word", "place", "passes", "rest", "shard", "block_words")
 
-def _chosen_words(x: Column, block: int) -> Column:
-    """Words before word ``x`` of the line that lie in blocks of the last pass.
 
-    Block i is chosen if (i * rest + turn) mod blocks < rest: ``rest`` blocks in all.
-    """
-    blocks, rest, turn = F.col("blocks"), F.col("rest"), F.col("turn")
-    floor = lambda y, by: F.call_function("div", y - F.pmod(y, by), by)
-    whole = floor(x, F.lit(block))
-    before = floor((whole - 1) * rest + turn, blocks) - floor(turn - rest, blocks)
-    chosen = F.pmod(whole * rest + turn, blocks) < rest
-    got = before * block + F.when(chosen, x - whole * block).otherwise(0)
-    return F.when(blocks > 0, got).otherwise(F.lit(0))
+def _rows(docs: DataFrame, row: Column) -> DataFrame:
+    return docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"), F.xxhash64("text").alias("tie"))
 
 
 def _placed(sized: DataFrame, seed: int) -> DataFrame:
     """``sized`` with first_word: the words before each document on its source's line.
 
     The seeded order is cut into 4096 ranges for each source, and sums run within a
-    range and over ranges, so no task holds a whole source.
+    range and over ranges, so no task holds a whole source.  Rows that are equal in id, size and text are alike.
     """
-    keyed = sized.withColumn("key", F.xxhash64("doc_id", F.lit(seed)))
+    keyed = sized.withColumn("key", F.xxhash64("doc_id", "tie", F.lit(seed)))
     keyed = keyed.withColumn("range", F.shiftrightunsigned("key", 52).cast("int"))
     sums = keyed.groupBy("source", "range").agg(F.sum("size").alias("n"))
     over = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("n").over(over), F.lit(0)).alias("before"))
-    within = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "range").orderBy("key", "doc_id", "tie", "size").rowsBetween(Window.unboundedPreceding, -1)
     keyed = keyed.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
     joined = keyed.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
-    return joined.select("doc_id", "source", "size", (F.col("before") + F.col("inside")).alias("first_word"))
+    return joined.select("row", "doc_id", "source", "size", (F.col("before") + F.col("inside")).alias("first_word"))
 
 
-def mix_passages(docs: DataFrame, **options) -> DataFrame:
+def mix_passages(docs: DataFrame, *, with_shard: bool = False, weights=WEIGHTS, block_words: int = BLOCK_WORDS, most: int = MOST_PASSES, seed: int = 20240607) -> DataFrame:
     """The mix itself: the columns of ``docs`` for each pass over a document, with the text taken.
 
-    A whole pass has the whole text; the partial pass has the chosen blocks' words of it, from their
-    first word to their last, a run of words for each row, as written.  ``n_chars`` counts the new text.
-    A document of which nothing is taken has no row.  Of rows that share a doc_id, each gives what one of them is to give.
+    A whole pass has the whole text; of the last, partial pass there is a row for each run of words taken, as written from
+    the first word to the last.  ``n_chars`` counts the text of a run.  ``with_shard`` adds mix_shard, the output shard of a row's first word.
+    A document of which nothing is taken has no row.  Each row of ``docs`` gives what it is to give, whatever other
+    rows share its doc_id.
     """
-    parts = settle(mix_sources(docs, **options), "mix").dropDuplicates(["doc_id"])
-    own = parts.select(
-        F.struct("doc_id", "size", "first_word", "passes", (F.col("taken") - F.col("passes") * F.col("size")).alias("rest"), "blocks", "rest_blocks", "turn", "block_words").alias("__mix")
-    )
-    d = docs.join(own, F.col("doc_id").eqNullSafe(F.col("__mix.doc_id")))
+    # a written number names the row
+    numbered = settle(docs.withColumn("__mix_row", F.monotonically_increasing_id()), "mix-rows")
+    own = settle(_mix(_rows(numbered, F.col("__mix_row")), weights, block_words, most, seed).where("taken > 0"), "mix")
+    own = own.select(F.struct("row", "size", "source_size", "place", "passes", "rest", "upto", "block_words").alias("__mix"))
+    d = numbered.join(own, F.col("__mix_row") == F.col("__mix.row"))
     mine = lambda name: F.col(f"__mix.{name}")
-    whole = d.where((mine("passes") > 0) & (mine("size") > 0)).withColumn("__copy", F.explode(F.sequence(F.lit(1), mine("passes").cast("int"))))
-    whole = whole.select(*(docs[c] for c in docs.columns))
-    # places, in the document, of the words of chosen blocks: from block to block of its stretch of the line
-    first, last = mine("first_word"), mine("first_word") + mine("size")
-    d = d.where(mine("rest") > 0).withColumn("__words", F.regexp_extract_all("text", F.lit(f"{_WORD}[\\x20\\x09-\\x0D]*"), F.lit(0)))
-    block = mine("block_words")
-    b0 = F.call_function("div", first, block)
-    b1 = F.call_function("div", last - 1, block)
-    runs = F.filter(F.sequence(b0, b1), lambda i: F.pmod(i * mine("rest_blocks") + mine("turn"), mine("blocks")) < mine("rest_blocks"))
-    # the words are bound to a variable first: a column that a lambda names once would be made anew for each block
-    cut = F.transform(
-        F.array(F.col("__words")),
-        lambda words: F.array_join(
-            F.flatten(
-                F.transform(
-                    runs,
-                    lambda i: F.slice(words, (F.greatest(i * block, first) - first + 1).cast("int"), (F.least((i + 1) * block, last) - F.greatest(i * block, first)).cast("int")),
-                )
-            ),
-            "",
-        ),
-    )
-    part = d.withColumn("text", F.get(cut, F.lit(0))).withColumn("n_chars", F.length("text").cast("long"))
-    return whole.unionByName(part.select(*docs.columns))
+    n, line, place, rest = mine("size"), mine("source_size"), mine("place"), mine("rest")
+    # runs of words: (pass, from, to); of a document around the walk's start, the words from there on come first in each pass
+    head = F.least(n, line - place)
+    part = lambda begin, end: F.struct(mine("passes").cast("int").alias("pass"), begin.alias("a"), end.alias("b"))
+    last = F.array(part(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.least(head, rest - place))), part(head, head + F.least(rest, n - head)))
+    whole = F.transform(F.sequence(F.lit(0), mine("passes").cast("int") - 1), lambda k: F.struct(k.alias("pass"), F.lit(0).cast("long").alias("a"), n.alias("b")))
+    whole = F.when(mine("passes") > 0, whole).otherwise(F.array().cast("array<struct<pass:int,a:bigint,b:bigint>>"))
+    runs = F.filter(F.concat(whole, last), lambda r: r["b"] > r["a"])
+    d = d.withColumn("__run", F.explode(runs))
+    words = F.regexp_extract_all("text", F.lit(f"{_WORD}[\\x20\\x09-\\x0D]*"), F.lit(0))
+    a, b = F.col("__run.a"), F.col("__run.b")
+    text = F.when(b - a == n, F.col("text")).otherwise(F.array_join(F.slice(words, (a + 1).cast("int"), (b - a).cast("int")), ""))
+    d = d.withColumn("text", text).withColumn("n_chars", F.when(b - a == n, F.col("n_chars")).otherwise(F.length("text")).cast("long"))
+    if with_shard:
+        start = F.pmod(place + a, line) + F.col("__run.pass") * line
+        d = d.withColumn("mix_shard", F.size(F.filter("__mix.upto", lambda u: u * mine("block_words") <= start)))
+    return d.select(*docs.columns, *(["mix_shard"] if with_shard else []))
