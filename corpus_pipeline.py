@@ -10,9 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm._shared import shared_dir
-from quern.llm.cotraining import classify_quality
-from quern.llm.decontaminate import decontaminate
+from quern.llm._shared import settle, shared_dir
+from quern.llm.cotraining import good_documents
+from quern.llm.decontaminate import without_leaks
 from quern.llm.jaccard_join import ngram_jaccard_join
 from quern.llm.mixing import mix_passages
 from quern.llm.wavelet import token_wavelet
@@ -20,38 +20,46 @@ from quern.llm.wavelet import token_wavelet
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _only(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``keep`` (doc_id; a null doc_id too)."""
-    ids = keep.select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
-
-
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier does not reject."""
-    verdict = classify_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _only(docs, verdict.where("kept"))
+    """Documents that the co-trained classifier does not reject.
+
+    Every row is judged by its own text and metadata: null and repeated ids, repeated rows and empty texts are rows like
+    others. Without labels, and of an empty table, all is kept. Other columns than those of documents are dropped.
+    """
+    return good_documents(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies: the one with the least doc_id."""
-    found = ngram_jaccard_join(docs)
-    return _only(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """One row of each component of near copies: the one with the least doc_id (of several, any one; null last).
+
+    Rows are told apart by a written number, so repeated and null ids do not matter: of repeated rows one stays. Rows
+    without words are no copies of anything, and all stay. An empty table gives an empty one.
+    """
+    rows = settle(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "stage-rows")
+    found = ngram_jaccard_join(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
+    named = rows.select("row", F.col("doc_id").isNull().alias("unnamed"), "doc_id").join(found, "row")
+    stays = named.groupBy("component_id").agg(F.min(F.struct("unnamed", "doc_id", "row")).alias("first")).select(F.col("first.row").alias("row"))
+    return rows.join(stays, "row", "left_semi").select(*COLUMNS)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no test item."""
-    leaks = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = leaks.select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti").select(*COLUMNS)
+    """Rows that hold no test item.
+
+    Every row is judged by its own text; null texts hold none, null and repeated ids are ids like others.
+    """
+    return without_leaks(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes: a row for each pass over a document, with the words of that pass."""
-    return mix_passages(docs).select(*COLUMNS)
+    """What the mix takes: a row for each pass over a row of ``docs``, with the words of that pass.
+
+    Rows without words give nothing; a null source is one like others; rows that share an id each give their own words.
+    """
+    return mix_passages(docs.select(*COLUMNS))
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token-id shards of the corpus, read back: a row for each document in them."""
+    """The token-id shards of the corpus, read back: a row for each row of ``docs``; null and empty texts have the end id alone."""
     return token_wavelet(spark, docs)
 
 
