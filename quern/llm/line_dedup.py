@@ -3,9 +3,10 @@
 Equal lines are one node.  A line's set is its distinct shingles of eight UTF-8 bytes (letters
 lowered, runs of white space as one space); lines link if the sets' Jaccard similarity is at least the
 threshold.  Signatures are cut into bands; the lines of a band each meet two of them that
-the band picks, others in each band, and every pair met is decided by the exact similarity.
-Then lines of a band that are still in different components meet one another, unless sizes or
-parities rule a link out, so each link that has a band in common is decided.
+the band picks, others in each band, and every pair met is decided by the exact similarity, unless
+the places that their shingles fill rule a link out.  In further rounds each meets one line of another component.
+Then lines of a band that are still in different components meet one another, in the first band they share, unless
+sizes or places rule a link out, so each link that has a band in common is decided.
 One line of each component stays: the first by (doc_id, line).
 
 All of it is DataFrame functions: shingles are an explode that feeds the minima within one
@@ -67,42 +68,69 @@ def _hub_pairs(buckets: DataFrame) -> DataFrame:
     return met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
-#: Words of 64 places of a set's parity bits, and nodes of a band that one join key has on a side.
+#: Words of 64 places of a set's bits, and nodes of a band that one join key has on a side.
 _WORDS = 8
 _CHUNK = 4096
+#: Rounds in which each node meets one of another component, after the first.
+ROUNDS = 2
+_BITS = [f"bits{k}" for k in range(_WORDS)]
 
 
-def _parities(texts: DataFrame) -> DataFrame:
-    """(node, size, bits0, ...): the set's size, and the parity of how many of it fall to each place.
+def _places(texts: DataFrame) -> DataFrame:
+    """(node, n, bits0, ...): how many shingles a line has, repeats included, and the places that they fill.
 
-    Two sets differ in at least as many shingles as their parities do in places.
+    Two sets differ in at least as many shingles as their bits do in places.
     """
-    each = texts.select("node", F.explode(_set("body")).alias("s"))
-    word = [F.expr(f"bit_xor(if((s >> 6 & {_WORDS - 1}) = {k}, shiftleft(1L, cast(s & 63 as int)), 0L))").alias(f"bits{k}") for k in range(_WORDS)]
-    return each.groupBy("node").agg(F.count("*").alias("size"), *word)
+    at = texts.select("node", "body", F.explode(_starts(F.octet_length("body"))).alias("i"))
+    h = at.select("node", F.xxhash64(F.substring("body", F.col("i"), F.lit(SHINGLE))).alias("s"))
+    word = [F.expr(f"bit_or(if((s >> 6 & {_WORDS - 1}) = {k}, shiftleft(1L, cast(s & 63 as int)), 0L))").alias(c) for k, c in enumerate(_BITS)]
+    return h.groupBy("node").agg(F.count("*").alias("n"), *word)
 
 
-def _rest_pairs(buckets: DataFrame, labels: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of a band and of different components that sizes and parities leave room for."""
-    here = buckets.select("h", "node").join(labels, "node", "left").select("h", "node", F.coalesce("root", "node").alias("root"))
+def _alike(percent: int) -> Column:
+    """Whether places leave room for a link of the pair a, b: n is at least the size of a set."""
+    apart = " + ".join(f"bit_count({c}_a ^ {c}_b)" for c in _BITS)
+    return F.expr(f"{100 - percent} * (n_a + n_b) >= {100 + percent} * ({apart})")
+
+
+def _side(places: DataFrame, side: str) -> DataFrame:
+    return places.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", *_BITS)))
+
+
+def _possible(pairs: DataFrame, places: DataFrame, percent: int) -> DataFrame:
+    return pairs.join(_side(places, "a"), "a").join(_side(places, "b"), "b").where(_alike(percent)).select("a", "b")
+
+
+def _labelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    return buckets.select("h", "node").join(labels, "node", "left").select("h", "node", F.coalesce("root", "node").alias("root"))
+
+
+def _round_pairs(buckets: DataFrame, labels: DataFrame, k: int) -> DataFrame:
+    """Pairs (a, b): each node of a band with one of another component, that the band picks; another in each round."""
+    here = _labelled(buckets, labels)
+    order = F.xxhash64("root", "h", F.lit(k)).alias("o")
+    hub = here.groupBy("h").agg(F.min(F.struct(order, "root", "node")).alias("hub"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2")
+    met = here.join(settle(hub.select("h", "hub.root", "hub.node").toDF("h", "hub_root", "hub"), "line-hubs"), "h").where("root != hub_root")
+    return met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+
+def _rest_pairs(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, places: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that places leave room for, from the first band that they share."""
+    here = _labelled(buckets, labels)
     # a pair of two components has a side that is not of the band's largest
     each = here.groupBy("h", "root").agg(F.count("*").alias("n"))
     mixed = each.groupBy("h").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top")).where("roots > 1")
     parts = lambda n: F.ceil(n / _CHUNK).cast("int")
     mixed = mixed.select("h", F.col("top.root").alias("top"), parts(F.col("n") - F.col("top.n")).alias("few"), parts(F.col("n")).alias("all"))
-    here = settle(here.join(mixed, "h"), "line-mixed")
-    sets = settle(_parities(texts.join(here.select("node").distinct(), "node", "left_semi")), "line-parities")
-    here = here.join(sets, "node")
-    bits = [f"bits{k}" for k in range(_WORDS)]
+    here = settle(here.join(mixed, "h"), "line-mixed").join(places, "node").join(nodes, "node")
     spread = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    named = lambda side: [F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "size", *bits)]
+    named = lambda side: [F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "bands", "n", *_BITS)]
     x = here.where("root != top").select("h", "top", spread("few", 0).alias("i"), every("all").alias("j"), *named("a"))
     y = here.select("h", every("few").alias("i"), spread("all", 1).alias("j"), *named("b"))
-    apart = " + ".join(f"bit_count({c}_a ^ {c}_b)" for c in bits)
-    alike = f"{100 + percent} * (size_a + size_b - ({apart})) >= {2 * percent} * (size_a + size_b)"
-    once = F.expr(f"(root_b = top or root_a < root_b) and 100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b) and {alike}")
-    met = x.join(y, ["h", "i", "j"]).where(once)
+    shared = " ".join(f"WHEN bands_a[{k}] = bands_b[{k}] THEN bands_a[{k}]" for k in range(BANDS))
+    once = F.expr(f"(root_b = top or root_a < root_b) and h = CASE {shared} END")
+    met = x.join(y, ["h", "i", "j"]).where(_alike(percent) & once)
     return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
@@ -124,12 +152,24 @@ def line_components(docs: DataFrame, *, percent: int = 80) -> DataFrame:
     buckets = settle(_buckets(nodes), "line-buckets")
     texts = each.select("node", F.col("body").cast("binary").alias("body")).join(buckets.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     texts = settle(texts, "line-texts")
-    links = settle(_decide(settle(_hub_pairs(buckets), "line-pairs"), texts, percent), "line-links")
+    places = settle(_places(texts), "line-places")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return settle(_decide(settle(_possible(pairs, places, percent), "line-pairs"), texts, percent), "line-links")
+
+    links = linked(_hub_pairs(buckets))
     labels = settle(components(links), "line-labels")
-    more = settle(_decide(settle(_rest_pairs(buckets, labels, texts, percent), "line-pairs"), texts, percent), "line-links")
-    roots = components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    for k in range(ROUNDS):
+        new = linked(_round_pairs(buckets, labels, k))
+        if new.isEmpty():
+            break
+        links = links.union(new)
+        labels = settle(components(links), "line-labels")
+    more = linked(_rest_pairs(buckets, labels, nodes, places, percent))
+    roots = components(links.union(more))
     found = each.select("doc_id", "line", "node").join(roots, "node", "left").select("doc_id", "line", F.coalesce("root", "node").alias("root"))
-    first = found.groupBy("root").agg(F.min(F.struct("doc_id", "line")).alias("first"))
+    # written: as a table of its own it is joined by two exchanges, and a hot root is split by the skew join
+    first = settle(found.groupBy("root").agg(F.min(F.struct("doc_id", "line")).alias("first")), "line-firsts")
     return found.join(first, "root").select("doc_id", "line", "root", ((F.col("doc_id").eqNullSafe(F.col("first.doc_id"))) & (F.col("line") == F.col("first.line"))).alias("stays"))
 
 
