@@ -253,8 +253,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 #: What a side of a cell holds: shingles, and so many for each set beside its own.
 CELL_LOAD, SET_LOAD = 1 << 19, 256
-#: Columns of a dense block of a product.
+#: Columns of a dense block of a product; pairs that are worked on at once, besides a bit and a count for each pair of a cell.
 _COLUMNS = 1024
+_PAIRS = 1 << 19
 
 
 class Cell:
@@ -263,12 +264,14 @@ class Cell:
     def __init__(self, nodes, roots, top, sizes, sets, in_rows, in_columns, percent: int):
         self.nodes, self.percent = nodes, percent
         self.x, self.y = np.flatnonzero(in_rows), np.flatnonzero(in_columns)
-        self.total = sizes[self.x][:, None] + sizes[self.y][None, :]
-        smaller, larger = np.minimum(sizes[self.x][:, None], sizes[self.y][None, :]), np.maximum(sizes[self.x][:, None], sizes[self.y][None, :])
+        self.size_x, self.size_y = sizes[self.x][:, None], sizes[self.y][None, :]
         rx, ry = roots[self.x][:, None], roots[self.y][None, :]
-        # a pair of two small components is met from its lesser root only
-        self.live = (100 * smaller >= percent * larger) & (rx != ry) & ((ry == top) | (rx < ry))
+        self.live = np.zeros((len(self.x), len(self.y)), bool)
         self.counts = np.zeros(self.live.shape, np.float32)
+        for s in self._strips(len(self.x)):
+            alike = 100 * np.minimum(self.size_x[s], self.size_y) >= percent * np.maximum(self.size_x[s], self.size_y)
+            # a pair of two small components is met from its lesser root only
+            self.live[s] = alike & (rx[s] != ry) & ((ry == top) | (rx[s] < ry))
         self.left = np.array([len(s) for s in sets], np.int64)
         flat = np.concatenate(sets)
         owner = np.repeat(np.arange(len(sets)), self.left)
@@ -280,6 +283,11 @@ class Cell:
         order = np.argsort(column, kind="stable")
         self.column, self.owner, self.size = column[order], owner[order], np.sort(size)
 
+    def _strips(self, rows: int):
+        """Slices of so many rows whose pairs are worked on at once."""
+        step = max(1, _PAIRS // max(1, len(self.y)))
+        return (slice(i, min(i + step, rows)) for i in range(0, rows, step))
+
     def links(self) -> np.ndarray:
         """Which pairs link, after the overlaps of all columns are added up."""
         x_of, y_of = np.full(len(self.nodes), -1), np.full(len(self.nodes), -1)
@@ -300,7 +308,9 @@ class Cell:
             both = np.zeros((len(self.nodes), end - at), np.float32)
             both[owner, column] = 1
             r, c = np.flatnonzero(self.live.any(axis=1)), np.flatnonzero(self.live.any(axis=0))
-            self.counts[np.ix_(r, c)] += both[self.x[r]] @ both[self.y[c]].T
+            across = both[self.y[c]].T
+            for s in self._strips(len(r)):
+                self.counts[np.ix_(r[s], c)] += both[self.x[r[s]]] @ across
             self.left -= np.bincount(owner, minlength=len(self.nodes))
             at = end
         self._discard()
@@ -308,8 +318,10 @@ class Cell:
 
     def _discard(self) -> bool:
         """Drop the pairs that cannot reach their bound with what is left of their shingles."""
-        room = self.counts + np.minimum(self.left[self.x][:, None], self.left[self.y][None, :])
-        self.live &= (100 + self.percent) * room.astype(np.int64) >= self.percent * self.total
+        left_x, left_y = self.left[self.x][:, None], self.left[self.y][None, :]
+        for s in self._strips(len(self.x)):
+            room = self.counts[s].astype(np.int64) + np.minimum(left_x[s], left_y)
+            self.live[s] &= (100 + self.percent) * room >= self.percent * (self.size_x[s] + self.size_y)
         return bool(self.live.any())
 
     def _sparse(self, first, begin, end, x_of, y_of):
@@ -317,7 +329,7 @@ class Cell:
         shape = self.counts.shape
         while at < end:
             pairs = np.cumsum(self.size[at:end].astype(np.int64) ** 2)
-            stop = at + max(1, int(np.searchsorted(pairs, 1 << 21)))
+            stop = at + max(1, int(np.searchsorted(pairs, _PAIRS)))
             size = self.size[at:stop]
             each = np.repeat(size, size)  # partners of each entry, itself included
             entry = np.arange(first[at], first[stop])
@@ -333,13 +345,13 @@ class Cell:
     def forest(self):
         """Links (a, b) that connect whatever the links connect, fewer than the sets."""
         links = self.links()
-        rows, columns = np.nonzero(links)
-        if len(rows) <= len(self.nodes):
+        if np.count_nonzero(links) <= len(self.nodes):
+            rows, columns = np.nonzero(links)
             yield from zip(self.nodes[self.x[rows]].tolist(), self.nodes[self.y[columns]].tolist())
             return
         seen_x, seen_y = np.zeros(len(self.x), bool), np.zeros(len(self.y), bool)
         x_of = {int(k): i for i, k in enumerate(self.x)}
-        for start in np.unique(rows).tolist():
+        for start in np.flatnonzero(links.any(axis=1)).tolist():
             if seen_x[start]:
                 continue
             seen_x[start] = True
