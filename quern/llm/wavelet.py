@@ -191,11 +191,15 @@ class WaveletMatrix:
 # ---------------------------------------------------------------- the tokenizer
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+
+
 class ChunkEncoder:
     """Byte-level BPE of whole texts through the tokenizers library, word by word.
 
     Byte-level pre-tokenization never joins a non-space to a space that follows
-    it, so a text is cut there and each distinct piece is encoded once.
+    it, nor an ASCII letter to a comma or full stop, so a text is cut there and each distinct piece is encoded once.
     Pieces with the text of an added token go through the whole tokenizer.
     """
 
@@ -211,6 +215,7 @@ class ChunkEncoder:
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         added = [re.escape(t.content.encode()) for t in self.whole.get_added_tokens_decoder().values()]
         self.added = re.compile(b"|".join(added) or b"(?!)")
+        self.marks = not any(re.search(r"[A-Za-z]\\?[,.]", t.decode()) for t in added)  # no added token goes over such a cut
         self.kind = "H" if self.whole.get_vocab_size() <= 1 << 16 else "I"
         self.dtype = np.dtype(np.uint16 if self.kind == "H" else np.uint32)
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -287,6 +292,8 @@ class ChunkEncoder:
         cut = np.empty(len(data), bool)
         cut[0] = True
         cut[1:] = space[1:] & ~space[:-1]
+        if self.marks:
+            cut[1:] |= ((data[1:] == 44) | (data[1:] == 46)) & _LETTER[data[:-1]]
         cut[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts, len(data)).astype(np.int64)
