@@ -12,6 +12,7 @@ import re
 import shutil
 import tempfile
 import uuid
+import weakref
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,6 +36,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Where the tables that ``settle`` gave are.
+_written: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
@@ -44,7 +49,22 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quern/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[out] = path
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Remove tables of ``settle``, after all that was made from them is written itself; others are left alone.
+
+    What is written no longer depends on them, so a lost executor does not need them either.
+    """
+    for df in tables:
+        path = _written.pop(df, None) if df is not None else None
+        if path is not None:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def give_back() -> None:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm._shared import settle
+from quern.llm._shared import drop, settle
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -30,11 +30,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = edges.join(low, edges["v"] == low["k"]).select("u", F.col("m").alias("v"))
         large = large.where("u != v").distinct()
         large = settle(large, "large-star")
+        drop(edges, low)
         # small star: smaller neighbours and the node go to the least of them
         low = settle(large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m"), "least")
         small = large.join(low, large["u"] == low["k"])
         small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         edges = settle(small.where("u != v").distinct(), "small-star")
+        drop(large, low)
         now = tuple(edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).first())
         if now == before:
             break

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm._shared import give_back, mix, settle, shingle_sets
+from quern.llm._shared import drop, give_back, mix, settle, shingle_sets
 from quern.llm.components import components
 
 #: Shingles of a block or of a part of the sets, about: what one task holds at a time.
@@ -385,11 +385,14 @@ def _families(met: DataFrame, labels: DataFrame | None, percent: int) -> DataFra
     size_class = F.floor(F.log("size") / step).cast("int")
     here = settle(here.join(mixed, "h").select("h", "node", "root", (F.col("shared") + SET_LOAD).alias("load"), F.explode(F.array(size_class, size_class + 1)).alias("class")), "met")
     lists = here.groupBy("h", "class").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.min("node").alias("family")).where("r1 != r2").select("h", "class", "family")
-    return settle(here.join(settle(lists, "lists"), ["h", "class"]).select("family", "class", "node", "root", "load").distinct(), "families")
+    lists = settle(lists, "lists")
+    families = settle(here.join(lists, ["h", "class"]).select("family", "class", "node", "root", "load").distinct(), "families")
+    drop(here, lists)
+    return families
 
 
 def _product_links(families: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Exact links (a, b) of the families' cells."""
+    """Exact links (a, b) of the families' cells, written."""
     # a pair of two components has a side that is not of the family's largest: that side is the rows
     each = families.groupBy("family", "class", "root").agg(F.sum("load").alias("load"))
     grid = each.groupBy("family", "class").agg(F.sum("load").alias("load"), F.max(F.struct("load", "root")).alias("top"))
@@ -428,7 +431,9 @@ def _product_links(families: DataFrame, nodes: DataFrame, percent: int) -> DataF
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     columns = ("task", "family", "class", "i", "j", "top", "node", "root", "size", "in_rows", "in_columns", "shingles")
-    return sent.select(*columns).groupBy("task").applyInArrow(multiply, "a long, b long")
+    links = settle(sent.select(*columns).groupBy("task").applyInArrow(multiply, "a long, b long"), "links")
+    drop(grid)
+    return links
 
 
 # ------------------------------------------------------------ the operator
@@ -465,6 +470,7 @@ def _components_of_sets(docs: DataFrame, table: DataFrame, n: int, percent: int)
     found = spark.createDataFrame([], "a long, b long")
     labels = None
     tried = None
+    parts, partners = [], []
     for k in range(HUB_ROUNDS):
         here = _labelled(met, labels)
         # of each shingle, one node, another in each round; a node's partner is the one that most of its shingles name
@@ -476,17 +482,25 @@ def _components_of_sets(docs: DataFrame, table: DataFrame, n: int, percent: int)
             named = named.join(tried, (named["node"] == tried["t_node"]) & (named["other"] == tried["t_other"]), "left_anti")
         picked = named.groupBy("node").agg(F.max(F.struct("times", (-F.col("other")).alias("minus"))).alias("best")).select("node", (-F.col("best.minus")).alias("other"))
         picked = settle(picked, "partners")
+        partners.append(picked)
         new = settle(_verified(picked.select(F.col("node").alias("a"), F.col("other").alias("b")), nodes, percent), "links")
         if new.isEmpty():
             break
         now_tried = picked.select(F.col("node").alias("t_node"), F.col("other").alias("t_other"))
         tried = now_tried if tried is None else tried.union(now_tried)
+        parts.append(new)
         found = found.union(new)
-        labels = settle(components(found), "labels")
+        before, labels = labels, settle(components(found), "labels")
+        drop(before)
     # whatever pair of different components is left
+    drop(*partners)
     families = _families(met, labels, percent)
-    found = found.union(settle(_product_links(families, nodes, percent), "links"))
-    return settle(components(found), "components")
+    drop(met, labels)
+    parts.append(_product_links(families, nodes, percent))
+    drop(families, nodes)
+    reached = settle(components(found.union(parts[-1])), "components")
+    drop(*parts)
+    return reached
 
 
 def _labelled(met: DataFrame, labels: DataFrame | None) -> DataFrame:

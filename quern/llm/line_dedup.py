@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm._shared import settle
+from quern.llm._shared import drop, settle
 from quern.llm.components import components
 
 SHINGLE = 8
@@ -53,12 +53,14 @@ def signatures(each: DataFrame) -> DataFrame:
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
-    """(h, node, hubs) of the bands that several nodes have; hubs are the two that have the extremes of an order of the band's own."""
+    """(h, node, hubs) of the bands that several nodes have, written; hubs are the two that have the extremes of an order of the band's own."""
     entries = nodes.select("node", F.posexplode("bands").alias("band", "h"))
     mask = F.element_at(F.array(*map(F.lit, _PICKS)), F.col("band") + 1)
     picked = entries.select("h", "band", F.col("node").bitwiseXOR(mask).alias("o")).groupBy("h", "band").agg(F.min("o").alias("lo"), F.max("o").alias("hi")).where("lo != hi")
     picked = settle(picked.select("h", F.array(F.col("lo").bitwiseXOR(mask), F.col("hi").bitwiseXOR(mask)).alias("hubs")), "line-hubs")
-    return entries.select("node", "h").join(picked, "h").select("h", "node", "hubs")
+    buckets = settle(entries.select("node", "h").join(picked, "h").select("h", "node", "hubs"), "line-buckets")
+    drop(picked)
+    return buckets
 
 
 def _hub_pairs(buckets: DataFrame) -> DataFrame:
@@ -83,16 +85,16 @@ def _parities(texts: DataFrame) -> DataFrame:
 
 
 def _rest_pairs(buckets: DataFrame, labels: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of a band and of different components that sizes and parities leave room for."""
+    """Pairs (a, b) of a band and of different components that sizes and parities leave room for, written."""
     here = buckets.select("h", "node").join(labels, "node", "left").select("h", "node", F.coalesce("root", "node").alias("root"))
     # a pair of two components has a side that is not of the band's largest
     each = here.groupBy("h", "root").agg(F.count("*").alias("n"))
     mixed = each.groupBy("h").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top")).where("roots > 1")
     parts = lambda n: F.ceil(n / _CHUNK).cast("int")
     mixed = mixed.select("h", F.col("top.root").alias("top"), parts(F.col("n") - F.col("top.n")).alias("few"), parts(F.col("n")).alias("all"))
-    here = settle(here.join(mixed, "h"), "line-mixed")
-    sets = settle(_parities(texts.join(here.select("node").distinct(), "node", "left_semi")), "line-parities")
-    here = here.join(sets, "node")
+    mixed = settle(here.join(mixed, "h"), "line-mixed")
+    sets = settle(_parities(texts.join(mixed.select("node").distinct(), "node", "left_semi")), "line-parities")
+    here = mixed.join(sets, "node")
     bits = [f"bits{k}" for k in range(_WORDS)]
     spread = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -103,7 +105,9 @@ def _rest_pairs(buckets: DataFrame, labels: DataFrame, texts: DataFrame, percent
     alike = f"{100 + percent} * (size_a + size_b - ({apart})) >= {2 * percent} * (size_a + size_b)"
     once = F.expr(f"(root_b = top or root_a < root_b) and 100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b) and {alike}")
     met = x.join(y, ["h", "i", "j"]).where(once)
-    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    pairs = settle(met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), "line-pairs")
+    drop(mixed, sets)
+    return pairs
 
 
 def _set(body: str) -> Column:
@@ -121,13 +125,21 @@ def line_components(docs: DataFrame, *, percent: int = 80) -> DataFrame:
     """(doc_id, line, root, stays) of each line with a visible character."""
     each = settle(lines(docs), "lines")
     nodes = settle(signatures(each), "line-nodes")
-    buckets = settle(_buckets(nodes), "line-buckets")
+    buckets = _buckets(nodes)
+    drop(nodes)
     texts = each.select("node", F.col("body").cast("binary").alias("body")).join(buckets.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     texts = settle(texts, "line-texts")
-    links = settle(_decide(settle(_hub_pairs(buckets), "line-pairs"), texts, percent), "line-links")
+    pairs = settle(_hub_pairs(buckets), "line-pairs")
+    links = settle(_decide(pairs, texts, percent), "line-links")
+    drop(pairs)
     labels = settle(components(links), "line-labels")
-    more = settle(_decide(settle(_rest_pairs(buckets, labels, texts, percent), "line-pairs"), texts, percent), "line-links")
-    roots = components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    drop(links)
+    pairs = _rest_pairs(buckets, labels, texts, percent)
+    drop(buckets)
+    more = settle(_decide(pairs, texts, percent), "line-links")
+    drop(pairs, texts)
+    roots = settle(components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)), "line-roots")
+    drop(labels, more)
     found = each.select("doc_id", "line", "node").join(roots, "node", "left").select("doc_id", "line", F.coalesce("root", "node").alias("root"))
     first = found.groupBy("root").agg(F.min(F.struct("doc_id", "line")).alias("first"))
     return found.join(first, "root").select("doc_id", "line", "root", ((F.col("doc_id").eqNullSafe(F.col("first.doc_id"))) & (F.col("line") == F.col("first.line"))).alias("stays"))
