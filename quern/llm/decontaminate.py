@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm._shared import mix, scan_words, slices, span_hashes, text_buffers
+from quern.llm._shared import give_back, mix, scan_words, slices, span_hashes, text_buffers
 
 MATCH, MISMATCH, GAP = 2, -1, -1
 _SHIFT = 32  # scores stand above the start column in one integer
@@ -197,6 +197,7 @@ def _filter(sent, min_score: float):
         for batch in batches:
             leaks = {row for row, _ in found_items(batch, sent.value, min_score)}
             yield batch.filter(pa.array([k not in leaks for k in range(len(batch))], pa.bool_()))
+        give_back()
 
     return run
 
@@ -262,5 +263,6 @@ def _aligner(sent, min_score: float):
                 ],
                 ["doc_id", "item_id", "score", "n_seeds", "start_word", "end_word"],
             )
+        give_back()
 
     return run

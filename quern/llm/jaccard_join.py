@@ -245,6 +245,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 both = int(np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x)) if len(y) else 0
                 keep.append(100 * both >= percent * (na + nb - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     return both.mapInArrow(decide, "a long, b long")
 

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm._shared import settle, text_buffers
+from quern.llm._shared import give_back, settle, text_buffers
 
 MAGIC = b"QWM1"
 _HEAD = struct.Struct("<4sIIII")
@@ -298,19 +298,26 @@ class ChunkEncoder:
         starts = np.flatnonzero(cut)
         ends = np.append(starts, len(data)).astype(np.int64)
         column = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+        del space, cut
         coded = column.dictionary_encode()
+        del column, ends
         distinct = coded.dictionary.to_pylist()
+        coded = coded.indices.to_numpy()
         if len(distinct) + len(self.pieces) > self.KEEP:
             self._reset()
             if len(distinct) > self.KEEP:
                 self.at = np.zeros(len(distinct) + 1, np.int64)
         number = self._number(distinct)
-        piece = number[coded.indices.to_numpy()]
-        begin = self.at[piece]
-        length = self.at[piece + 1] - begin
-        total = np.concatenate([[0], np.cumsum(length)])
-        take = np.repeat(begin - total[:-1], length)
-        take += np.arange(total[-1])
+        del distinct
+        begin = self.at[number]
+        length = (self.at[number + 1] - begin)[coded]
+        total = np.zeros(len(coded) + 1, np.int64)
+        np.cumsum(length, out=total[1:])
+        # places in ``flat``, whose length the pieces remembered bound, so 32 bits nearly always do
+        width = np.int32 if max(len(self.flat) // self.dtype.itemsize, int(total[-1])) < 1 << 31 else np.int64
+        take = np.repeat((begin[coded] - total[:-1]).astype(width), length)
+        del begin, length, coded
+        take += np.arange(total[-1], dtype=width)
         of_text = np.searchsorted(starts, offsets)
         return np.frombuffer(self.flat, self.dtype)[take], np.diff(total[of_text])
 
@@ -336,6 +343,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, *, end_id: int = 2, shard
     ranged = picked.repartitionByRange(shards, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
 
     def encode(batches):
+        give_back()  # what the worker's earlier tasks freed
         encoder, shard = ChunkEncoder.of(tokenizer_path), TaskContext.get().partitionId()
         ids, lengths, names, waiting, block, start = [], [], [], 0, 0, 0
 
@@ -365,8 +373,10 @@ def write_shards(docs: DataFrame, tokenizer_path: str, *, end_id: int = 2, shard
                 if waiting >= BLOCK_TOKENS:
                     yield image()
                 i = j
+            del batch, data
         if waiting:
             yield image()
+        give_back()
 
     return settle(ranged.mapInArrow(encode, SHARD_SCHEMA), name)
 
@@ -417,6 +427,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
                     ],
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
+        give_back()
 
     # Arrow batches of a few images bound the memory of a task.
     few = shards.select("shard", "block_start", "doc_ids", "n_docs", "image")
