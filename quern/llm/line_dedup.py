@@ -3,7 +3,7 @@
 Equal lines are one node.  A line's set is its distinct shingles of eight UTF-8 bytes (letters
 lowered, runs of white space as one space); lines link if the sets' Jaccard similarity is at least the
 threshold.  Signatures are cut into bands; the lines of a band each meet two of them that
-the band picks, others in each band, and every pair met is decided by the exact similarity.
+the band picks, others in each band (two more where many components are left), and every pair met is decided by the exact similarity.
 Then lines of a band that are still in different components meet one another, unless sizes or
 parities rule a link out, so each link that has a band in common is decided.
 One line of each component stays: the first by (doc_id, line).
@@ -70,55 +70,84 @@ def _hub_pairs(buckets: DataFrame) -> DataFrame:
 
 
 #: Words of 64 places of a set's parity bits, and nodes of a band that one join key has on a side.
-_WORDS = 8
+_WORDS = 16
 _CHUNK = 4096
 
 
-def _parities(texts: DataFrame) -> DataFrame:
+def _marks(texts: DataFrame) -> DataFrame:
     """(node, size, bits0, ...): the set's size, and the parity of how many of it fall to each place.
 
     Two sets differ in at least as many shingles as their parities do in places.
     """
-    each = texts.select("node", F.explode(_set("body")).alias("s"))
+    at = texts.repartition("node").select("node", "body", F.explode(_starts(F.octet_length("body"))).alias("i"))
+    each = at.select("node", F.xxhash64(F.substring("body", F.col("i"), F.lit(SHINGLE))).alias("s")).distinct()
     word = [F.expr(f"bit_xor(if((s >> 6 & {_WORDS - 1}) = {k}, shiftleft(1L, cast(s & 63 as int)), 0L))").alias(f"bits{k}") for k in range(_WORDS)]
     return each.groupBy("node").agg(F.count("*").alias("size"), *word)
 
 
-def _rest_pairs(buckets: DataFrame, labels: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of a band and of different components that sizes and parities leave room for, written."""
+_BITS = [f"bits{k}" for k in range(_WORDS)]
+
+
+def _room(percent: int) -> Column:
+    """Whether sizes and parities of sides a and b leave room for a link."""
+    apart = " + ".join(f"bit_count({c}_a ^ {c}_b)" for c in _BITS)
+    alike = f"{100 + percent} * (size_a + size_b - ({apart})) >= {2 * percent} * (size_a + size_b)"
+    return F.expr(f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b) and {alike}")
+
+
+def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(h, node, root, top, top_n, n) of the bands that have several components, written: top is the largest, of top_n of the n nodes."""
     here = buckets.select("h", "node").join(labels, "node", "left").select("h", "node", F.coalesce("root", "node").alias("root"))
-    # a pair of two components has a side that is not of the band's largest
     each = here.groupBy("h", "root").agg(F.count("*").alias("n"))
-    mixed = each.groupBy("h").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top")).where("roots > 1")
+    bands = each.groupBy("h").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top")).where("roots > 1")
+    bands = bands.select("h", F.col("top.root").alias("top"), F.col("top.n").alias("top_n"), "n")
+    return settle(here.join(bands, "h"), "line-mixed")
+
+
+def _more_hub_pairs(mixed: DataFrame, k: int) -> DataFrame:
+    """Pairs (a, b): each node that is not of its band's largest component with two that round k picks, one of that component and one of the others, written."""
+    of = lambda inside: F.min(F.when(inside, F.struct(F.xxhash64("node", "h", F.lit(k)).alias("o"), "node", "root")))
+    hubs = mixed.groupBy("h").agg(of(F.col("root") == F.col("top")).alias("x"), of(F.col("root") != F.col("top")).alias("y"))
+    hubs = hubs.select("h", F.explode(F.array("x", "y")).alias("hub")).select("h", F.col("hub.node").alias("hub"), F.col("hub.root").alias("hub_root"))
+    met = mixed.where("root != top").select("h", "node", "root").join(hubs, "h").where("root != hub_root")
+    return settle(met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "line-pairs")
+
+
+def _rest_pairs(mixed: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a band and of different components that sizes and parities leave room for, written."""
+    # a pair of two components has a side that is not of the band's largest
     parts = lambda n: F.ceil(n / _CHUNK).cast("int")
-    mixed = mixed.select("h", F.col("top.root").alias("top"), parts(F.col("n") - F.col("top.n")).alias("few"), parts(F.col("n")).alias("all"))
-    mixed = settle(here.join(mixed, "h"), "line-mixed")
-    sets = settle(_parities(texts.join(mixed.select("node").distinct(), "node", "left_semi")), "line-parities")
-    here = mixed.join(sets, "node")
-    bits = [f"bits{k}" for k in range(_WORDS)]
+    here = mixed.select("h", "node", "root", "top", parts(F.col("n") - F.col("top_n")).alias("few"), parts(F.col("n")).alias("all")).join(marks, "node")
     spread = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    named = lambda side: [F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "size", *bits)]
+    named = lambda side: [F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "size", *_BITS)]
     x = here.where("root != top").select("h", "top", spread("few", 0).alias("i"), every("all").alias("j"), *named("a"))
     y = here.select("h", every("few").alias("i"), spread("all", 1).alias("j"), *named("b"))
-    apart = " + ".join(f"bit_count({c}_a ^ {c}_b)" for c in bits)
-    alike = f"{100 + percent} * (size_a + size_b - ({apart})) >= {2 * percent} * (size_a + size_b)"
-    once = F.expr(f"(root_b = top or root_a < root_b) and 100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b) and {alike}")
-    met = x.join(y, ["h", "i", "j"]).where(once)
-    pairs = settle(met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), "line-pairs")
-    drop(mixed, sets)
-    return pairs
+    met = x.join(y, ["h", "i", "j"]).where("root_b = top or root_a < root_b").where(_room(percent))
+    return settle(met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), "line-pairs")
+
+
+def _shingles(body: str) -> Column:
+    return F.transform(_starts(F.octet_length(body)), lambda i: F.xxhash64(F.substring(F.col(body), i, F.lit(SHINGLE))))
+
+
+def _decide(pairs: DataFrame, texts: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The links of ``pairs``, written: exact, where sizes and parities leave room."""
+    side = lambda x: marks.select(*(F.col(c).alias(f"{c}_{x}") for c in ("node", "size", *_BITS))).withColumnRenamed(f"node_{x}", x)
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(_room(percent)).select("a", "b", "size_a", "size_b")
+    both = near.join(texts.toDF("a", "body_a"), "a").join(texts.toDF("b", "body_b"), "b")
+    # each set is named once: a filter is moved to where its parts are made, and makes what it names as often
+    shared = F.size(F.array_intersect(_shingles("body_a"), _shingles("body_b"))).cast("long")
+    links = both.where((100 + percent) * shared >= percent * (F.col("size_a") + F.col("size_b"))).select("a", "b")
+    return settle(links, "line-links")
 
 
-def _set(body: str) -> Column:
-    return F.array_distinct(F.transform(_starts(F.octet_length(body)), lambda i: F.xxhash64(F.substring(F.col(body), i, F.lit(SHINGLE)))))
+#: Rounds of hubs at most, the first included, and comparisons for each line of a band that need no further one.
+HUB_ROUNDS, FEW_COMPARED = 2, 4
 
 
-def _decide(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    both = pairs.join(texts.toDF("a", "body_a"), "a").join(texts.toDF("b", "body_b"), "b")
-    sets = both.select("a", "b", _set("body_a").alias("x"), _set("body_b").alias("y"))
-    n = sets.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("n"), (F.size("x") + F.size("y")).cast("long").alias("s"))
-    return n.where(100 * F.col("n") >= percent * (F.col("s") - F.col("n"))).select("a", "b")
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    return components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
 
 
 def line_components(docs: DataFrame, *, percent: int = 80) -> DataFrame:
@@ -129,16 +158,31 @@ def line_components(docs: DataFrame, *, percent: int = 80) -> DataFrame:
     drop(nodes)
     texts = each.select("node", F.col("body").cast("binary").alias("body")).join(buckets.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     texts = settle(texts, "line-texts")
+    marks = settle(_marks(texts), "line-marks")
     pairs = settle(_hub_pairs(buckets), "line-pairs")
-    links = settle(_decide(pairs, texts, percent), "line-links")
+    links = _decide(pairs, texts, marks, percent)
     drop(pairs)
     labels = settle(components(links), "line-labels")
     drop(links)
-    pairs = _rest_pairs(buckets, labels, texts, percent)
+    for k in range(HUB_ROUNDS):
+        mixed = _mixed(buckets, labels)
+        work, entries = mixed.agg(F.sum(F.when(F.col("root") != F.col("top"), F.col("n"))), F.count("*")).first()
+        if k + 1 == HUB_ROUNDS or (work or 0) <= FEW_COMPARED * entries:
+            break
+        pairs = _more_hub_pairs(mixed, k)
+        links = _decide(pairs, texts, marks, percent)
+        drop(pairs)
+        if links.isEmpty():
+            drop(links)
+            break
+        before, labels = labels, settle(_joined(labels, links), "line-labels")
+        drop(mixed, before, links)
     drop(buckets)
-    more = settle(_decide(pairs, texts, percent), "line-links")
-    drop(pairs, texts)
-    roots = settle(components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)), "line-roots")
+    pairs = _rest_pairs(mixed, marks, percent)
+    drop(mixed)
+    more = _decide(pairs, texts, marks, percent)
+    drop(pairs, texts, marks)
+    roots = settle(_joined(labels, more), "line-roots")
     drop(labels, more)
     found = each.select("doc_id", "line", "node").join(roots, "node", "left").select("doc_id", "line", F.coalesce("root", "node").alias("root"))
     first = found.groupBy("root").agg(F.min(F.struct("doc_id", "line")).alias("first"))
