@@ -14,6 +14,9 @@ generated stage, and no group of lines is ever gathered.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,23 +35,35 @@ _LOW = (1 << 32) - 1
 
 def lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line, node, body) of each line with a visible character; node names its normal form, body."""
-    flat = F.regexp_replace(F.lower(F.col("text").cast("string")), r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]", " ")
-    each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(flat, "\n")).alias("line", "raw"))
-    each = each.select("doc_id", "line", F.trim("raw").alias("body")).where("body != ''")
+    each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.lower(F.col("text").cast("string")), "\n")).alias("line", "raw"))
+    # most lines have nothing to replace, and to look for it costs a small part of the expression
+    uneven = reduce(or_, (F.col("raw").contains(c) for c in ("  ", "\t", "\v", "\f", "\r")))
+    flat = F.when(uneven, F.regexp_replace("raw", r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]", " ")).otherwise(F.col("raw"))
+    each = each.where(F.trim("raw", F.lit(" \t\v\f\r")) != "").select("doc_id", "line", F.trim(flat).alias("body"))
     return each.select("doc_id", "line", F.shiftrightunsigned(F.xxhash64("body"), 1).alias("node"), "body")
 
 
-def _starts(n: Column) -> Column:
-    return F.sequence(F.lit(1), F.greatest(n - (SHINGLE - 1), F.lit(1)))
+#: Shingles of a row where they are aggregated: the aggregate's own cost for a row is many times that of one more shingle.
+_STEP = 8
+
+
+def _last(n: Column) -> Column:
+    """Where the last shingle of ``n`` bytes starts, from 1."""
+    return F.greatest(n - (SHINGLE - 1), F.lit(1))
+
 
 
 def signatures(each: DataFrame) -> DataFrame:
     """(node, bands) of each node of ``lines``."""
     raw = each.select("node", F.col("body").cast("binary").alias("raw"))
-    at = raw.select("node", "raw", F.explode(_starts(F.octet_length("raw"))).alias("i"))
-    h = at.select("node", F.xxhash64(F.substring("raw", F.col("i"), F.lit(SHINGLE))).alias("h"))
-    cut = lambda k: F.shiftrightunsigned("h", _SHIFTS[k % len(_SHIFTS)]).bitwiseAND(F.lit(_LOW))
-    low = h.groupBy("node").agg(*(F.min(cut(k).bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(_MASKS)))
+    raw = raw.select("node", "raw", _last(F.octet_length("raw")).alias("last"))
+    at = raw.select("node", "raw", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(_STEP))).alias("i"))
+    # past the end the last shingle stands again, which no minimum minds
+    starts = [F.least(F.col("i") + j, "last") if j else F.col("i") for j in range(_STEP)]
+    h = at.select("node", *(F.xxhash64(F.substring("raw", i, F.lit(SHINGLE))).alias(f"h{j}") for j, i in enumerate(starts)))
+    cut = lambda k, j: F.shiftrightunsigned(f"h{j}", _SHIFTS[k % len(_SHIFTS)]).bitwiseAND(F.lit(_LOW))
+    least = lambda k, m: F.least(*(cut(k, j).bitwiseXOR(F.lit(m)) for j in range(_STEP)))
+    low = h.groupBy("node").agg(*(F.min(least(k, m)).alias(f"m{k}") for k, m in enumerate(_MASKS)))
     return low.select("node", F.array(*(F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS))).alias("bands"))
 
 
@@ -79,10 +94,12 @@ def _marks(texts: DataFrame) -> DataFrame:
 
     Two sets differ in at least as many shingles as their parities do in places.
     """
-    at = texts.repartition("node").select("node", "body", F.explode(_starts(F.octet_length("body"))).alias("i"))
-    each = at.select("node", F.xxhash64(F.substring("body", F.col("i"), F.lit(SHINGLE))).alias("s")).distinct()
-    word = [F.expr(f"bit_xor(if((s >> 6 & {_WORDS - 1}) = {k}, shiftleft(1L, cast(s & 63 as int)), 0L))").alias(f"bits{k}") for k in range(_WORDS)]
-    return each.groupBy("node").agg(F.count("*").alias("size"), *word)
+    sets = texts.select("node", F.array_distinct(_shingles("body")).alias("s"))
+    at = sets.select("node", F.size("s").cast("long").alias("size"), "s", F.explode(F.sequence(F.lit(0), F.size("s") - 1, F.lit(_STEP))).alias("i"))
+    at = at.select("node", "size", *(F.get("s", F.col("i") + j).alias(f"s{j}") for j in range(_STEP)))  # null past the end
+    at = at.select("node", "size", *(F.expr(f"int(s{j} >> 6 & {_WORDS - 1})").alias(f"w{j}") for j in range(_STEP)), *(F.expr(f"shiftleft(1L, int(s{j} & 63))").alias(f"b{j}") for j in range(_STEP)))
+    word = [F.expr(f"bit_xor({' ^ '.join(f'if(w{j} = {k}, b{j}, 0L)' for j in range(_STEP))})").alias(f"bits{k}") for k in range(_WORDS)]
+    return at.groupBy("node").agg(F.max("size").alias("size"), *word)
 
 
 _BITS = [f"bits{k}" for k in range(_WORDS)]
@@ -128,7 +145,9 @@ def _rest_pairs(mixed: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
 
 
 def _shingles(body: str) -> Column:
-    return F.transform(_starts(F.octet_length(body)), lambda i: F.xxhash64(F.substring(F.col(body), i, F.lit(SHINGLE))))
+    # as a variable the bytes are at hand for each shingle; from the row all of them would be copied for each
+    each = lambda raw: F.transform(F.sequence(F.lit(1), _last(F.octet_length(raw))), lambda i: F.xxhash64(F.substring(raw, i, F.lit(SHINGLE))))
+    return F.transform(F.array(body), each)[0]
 
 
 def _decide(pairs: DataFrame, texts: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
@@ -150,9 +169,8 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
 
 
-def line_components(docs: DataFrame, *, percent: int = 80) -> DataFrame:
-    """(doc_id, line, root, stays) of each line with a visible character."""
-    each = settle(lines(docs), "lines")
+def _roots(each: DataFrame, percent: int) -> DataFrame:
+    """(node, root) of each node of ``lines`` that has a link, written; root is the least node of its component."""
     nodes = settle(signatures(each), "line-nodes")
     buckets = _buckets(nodes)
     drop(nodes)
@@ -184,11 +202,34 @@ def line_components(docs: DataFrame, *, percent: int = 80) -> DataFrame:
     drop(pairs, texts, marks)
     roots = settle(_joined(labels, more), "line-roots")
     drop(labels, more)
-    found = each.select("doc_id", "line", "node").join(roots, "node", "left").select("doc_id", "line", F.coalesce("root", "node").alias("root"))
+    return roots
+
+
+def _judged(found: DataFrame) -> DataFrame:
+    """(doc_id, line, root, stays) of ``found``, which has all lines of its components: the first of a component stays."""
     first = found.groupBy("root").agg(F.min(F.struct("doc_id", "line")).alias("first"))
     return found.join(first, "root").select("doc_id", "line", "root", ((F.col("doc_id").eqNullSafe(F.col("first.doc_id"))) & (F.col("line") == F.col("first.line"))).alias("stays"))
 
 
+def line_components(docs: DataFrame, *, percent: int = 80) -> DataFrame:
+    """(doc_id, line, root, stays) of each line with a visible character."""
+    each = settle(lines(docs), "lines")
+    return _judged(each.select("doc_id", "line", "node").join(_roots(each, percent), "node", "left").select("doc_id", "line", F.coalesce("root", "node").alias("root")))
+
+
+def _removed(each: DataFrame, roots: DataFrame) -> DataFrame:
+    """(doc_id, line) of each line that does not stay, written.
+
+    A line that no other equals and that has no link stays; only the others are brought together.
+    """
+    many = each.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
+    groups = many.join(roots, "node", "full").select("node", F.coalesce("root", "node").alias("root"))
+    found = settle(each.select("doc_id", "line", "node").join(groups, "node").select("doc_id", "line", "root"), "line-groups")
+    gone = settle(_judged(found).where(~F.col("stays")).select("doc_id", "line"), "line-removed")
+    drop(found)
+    return gone
+
+
 def dedup_lines(docs: DataFrame, *, percent: int = 80) -> DataFrame:
     """One row for each doc_id: doc_id, n_lines, n_removed, removed_lines.
 
@@ -199,9 +240,16 @@ def dedup_lines(docs: DataFrame, *, percent: int = 80) -> DataFrame:
     Null, empty and blank texts have no lines.  Rows that repeat a doc_id give one row; equal lines of them
     count as copies, but one line number stands for all of them; a null doc_id is a document.  Other columns are not read; an empty table gives an empty result.
     """
-    each = line_components(docs, percent=percent)
-    kept = F.size(F.collect_set(F.when(F.col("stays"), F.col("line"))))
-    sums = each.groupBy("doc_id").agg(F.count("*").alias("n_lines"), (F.count("*") - kept).alias("n_removed"), F.sort_array(F.collect_list(F.when(~F.col("stays"), F.col("line")))).alias("removed_lines"))
-    ids = docs.select(F.col("doc_id").cast("long").alias("id")).distinct()
-    out = ids.join(sums, F.col("id").eqNullSafe(F.col("doc_id")), "left")
+    each = settle(lines(docs), "lines")
+    roots = _roots(each, percent)
+    gone = _removed(each, roots)
+    drop(roots)
+    # a line number stays where it names a line that does
+    both = each.select("doc_id", "line", F.lit(1).alias("n"), F.lit(0).alias("gone")).union(gone.select("doc_id", "line", F.lit(0), F.lit(1)))
+    sums = both.repartition("doc_id").groupBy("doc_id", "line").agg(F.sum("n").alias("n"), F.sum("gone").alias("gone"))
+    sums = sums.groupBy("doc_id").agg(F.sum("n").alias("n_lines"), (F.sum("n") - F.count_if(F.col("gone") < F.col("n"))).alias("n_removed"))
+    named = gone.groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("removed_lines"))
+    out = docs.select(F.col("doc_id").cast("long").alias("id")).distinct()
+    for more in (sums, named):
+        out = out.join(more, F.col("id").eqNullSafe(more["doc_id"]), "left").drop("doc_id")
     return out.select(F.col("id").alias("doc_id"), F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("removed_lines", F.array().cast("array<int>")).alias("removed_lines"))
