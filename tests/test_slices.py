@@ -28,3 +28,33 @@ def test_offsets_come_in_bounded_batches():
     got = [tuple(r.values()) for b in out for r in b.to_pylist()]
     want = [(str(i), k, m[0].decode().lower(), m.start(), m.end()) for i, t in enumerate(texts) for k, m in enumerate(re.finditer(rb"[A-Za-z0-9]+", (t or "").encode()))]
     assert got == want
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    """Documents with repeated ids, ids far apart, texts without terms; no document of shard 3 has a term."""
+    path = str(tmp_path_factory.mktemp("odd"))
+    long = " ".join(f"w{k % 97} of w{k % 31}" for k in range(3000))
+    rows = [(0, "tion reer tion"), (0, "reer zebra attion tion"), (4, long), (4, None), (8, ""), (1, "the and of"), (1, "été tion, reer"), (3, "of the"), (7, None), (70_000_001, "tion reer reer"), (5, "zebra tion x9")]
+    spark.createDataFrame([(i, t, "en", "src1", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{path}/documents.parquet")
+    return path
+
+
+def agrees(spark, path, name):
+    """The query's rows are those of its SQL."""
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet/*.parquet'")
+    want = sorted(db.sql(__spark_entry__.oracle_sql()[name]).fetchall(), key=repr)
+    assert sorted(map(tuple, __spark_entry__.queries()[name](spark, path).collect()), key=repr) == want
+
+
+def plan(spark, path, name):
+    return __spark_entry__.queries()[name](spark, path)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+
+
+def test_gaps_of_repeated_ids_and_over_slices(spark, odd, monkeypatch):
+    from quern.operators import codec
+
+    monkeypatch.setattr(codec, "SLICE_BYTES", 16)
+    agrees(spark, odd, "posting_gap_encode")
+    assert "Join" not in plan(spark, odd, "posting_gap_encode")
