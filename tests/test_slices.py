@@ -58,3 +58,20 @@ def test_gaps_of_repeated_ids_and_over_slices(spark, odd, monkeypatch):
     monkeypatch.setattr(codec, "SLICE_BYTES", 16)
     agrees(spark, odd, "posting_gap_encode")
     assert "Join" not in plan(spark, odd, "posting_gap_encode")
+
+
+def test_roundtrip_on_arrays(spark, odd, monkeypatch):
+    import numpy as np
+
+    from quern.operators import codec
+
+    values = np.array([0, 1, 127, 128, 16383, 16384, 2**21, 2**35 - 1, 2**62], np.int64)
+    data = codec.encode_array(values)
+    assert data.tobytes() == b"".join(codec.encode_varint(int(v)) for v in values)
+    assert codec.decode_array(data).tolist() == values.tolist()
+    monkeypatch.setattr(codec, "SLICE_BYTES", 16)
+    agrees(spark, odd, "codec_roundtrip")
+    good = codec.encode_array
+    monkeypatch.setattr(codec, "encode_array", lambda v: good(np.where(v == 3, 4, v)))  # a codec that errs is told
+    p = codec.Postings.of(codec.Tokens.of(np.frombuffer(b"x a a ab b y x", np.uint8), np.array([0, 6, 14])), np.array([1, 4]))
+    assert not codec._decodes(p, np.cumsum(p.tf) - p.tf).all()
