@@ -75,3 +75,12 @@ def test_roundtrip_on_arrays(spark, odd, monkeypatch):
     monkeypatch.setattr(codec, "encode_array", lambda v: good(np.where(v == 3, 4, v)))  # a codec that errs is told
     p = codec.Postings.of(codec.Tokens.of(np.frombuffer(b"x a a ab b y x", np.uint8), np.array([0, 6, 14])), np.array([1, 4]))
     assert not codec._decodes(p, np.cumsum(p.tf) - p.tf).all()
+
+
+def test_sizes_need_no_positions_in_a_shuffle(spark, odd, monkeypatch):
+    from quern.operators import codec
+
+    monkeypatch.setattr(codec, "SLICE_BYTES", 16)
+    agrees(spark, odd, "posting_compressed_size")
+    found = plan(spark, odd, "posting_compressed_size")
+    assert "Join" not in found and "collect_list" not in found
