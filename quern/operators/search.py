@@ -50,7 +50,7 @@ def matches(index: Index, node: Node, lengths: DataFrame | None = None) -> DataF
 
 def _found(index: Index, node: Node) -> DataFrame:
     """Postings of the query's terms; positions only where a phrase needs them."""
-    terms = index.terms.where(F.col("term").isin(list(dict.fromkeys(all_terms(node)))))
+    terms = index.found(list(dict.fromkeys(all_terms(node))))
     if any(n.kind == "phrase" for n in _walk(node)):
         return postings(terms)
     return terms.groupBy("term", "file_id").agg(F.count("*").cast("int").alias("tf"))

@@ -35,7 +35,7 @@ def save(index: Index, path: str) -> str:
 def load(spark: SparkSession, path: str) -> Index:
     version = spark.read.parquet(f"{path}/current").orderBy(F.desc("number")).first()["version"]
     read = lambda name: spark.read.parquet(f"{path}/{version}/{name}")
-    return Index(read("docs"), read("terms"), read("lengths"))
+    return Index(read("docs"), read("terms"), read("lengths"), kept=True)
 
 
 def upsert(current: DataFrame, changes: DataFrame) -> DataFrame:

@@ -84,3 +84,7 @@ def test_sizes_need_no_positions_in_a_shuffle(spark, odd, monkeypatch):
     agrees(spark, odd, "posting_compressed_size")
     found = plan(spark, odd, "posting_compressed_size")
     assert "Join" not in found and "collect_list" not in found
+
+
+def test_corpus_stats_of_repeated_ids(spark, odd):
+    agrees(spark, odd, "corpus_stats")
