@@ -88,3 +88,12 @@ def test_sizes_need_no_positions_in_a_shuffle(spark, odd, monkeypatch):
 
 def test_corpus_stats_of_repeated_ids(spark, odd):
     agrees(spark, odd, "corpus_stats")
+
+
+def test_lengths_of_repeated_ids_without_a_join(spark, odd):
+    from quern.operators import index as ix
+    from quern.sources.corpus import documents
+
+    agrees(spark, odd, "doc_length")
+    lengths = ix.Index.build(documents(spark, odd)).doc_lengths
+    assert "Join" not in lengths._jdf.queryExecution().toString()
