@@ -118,3 +118,7 @@ def test_pairs_are_counted_by_slices(spark, odd, tmp_path):
 
 def test_shard_stats_of_a_shard_without_terms(spark, odd):
     agrees(spark, odd, "shard_stats")
+
+
+def test_shard_totals_of_repeated_ids(spark, odd):
+    agrees(spark, odd, "shard_totals")
