@@ -6,34 +6,16 @@ separators occurs inside a multi-byte character.
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import re
-import shutil
-import tempfile
 import uuid
 import weakref
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset, the folder of ``SparkContext.setCheckpointDir``.  With neither, a session of one
-    machine (master ``local``) gets a temporary folder; on a cluster that is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="quern-checkpoint-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+from quern.sources.shared import shared_dir
 
 
 #: Where the tables that ``settle`` gave are.

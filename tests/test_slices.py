@@ -132,3 +132,30 @@ def test_search_makes_rows_of_its_terms_only(spark, odd):
     index = ix.Index.build(documents(spark, odd))
     assert {r["term"] for r in index.found(["tion", "zebra"]).collect()} == {"tion", "zebra"}
     assert "Join" not in index.found(["tion"])._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("policy", ["lru", "lfu"])
+def test_long_traces_go_on_part_by_part(spark, monkeypatch, policy):
+    import random
+
+    from quern.operators import cache
+
+    rnd = random.Random(5)
+    traces = {"long": 1000, "other": 450, None: 300, "short": 90}
+    rows = [(t, 7 * k, str(min(int(rnd.expovariate(0.08)), 40))) for t, n in traces.items() for k in range(n)]
+    want = []
+    for t in traces:
+        held = {"lru": cache.LRUCache, "lfu": cache.LFUCache}[policy](16)
+        for _, step, key in (r for r in rows if r[0] == t):
+            hit = held.get(key) is not None
+            if not hit:
+                held.put(key, True)
+            want.append((t, step, key, hit))
+    rnd.shuffle(rows)
+    accesses = spark.createDataFrame(rows, "trace string, step long, key string")
+    monkeypatch.setattr(cache, "PART", 100)
+    sizes = []
+    runs = cache._runs
+    monkeypatch.setattr(cache, "_runs", lambda *a: sizes.append(a) or runs(*a))
+    got = [tuple(r) for r in cache.simulate(accesses, policy, 16).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and len(sizes) == 11
